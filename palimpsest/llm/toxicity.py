@@ -205,7 +205,11 @@ def fit(texts: list[tuple[str, int]], seed: int = 7, decay: float = 0.5, landmar
     rate = {w: (c / n[1]) / ((seen[0][w] + 0.5) / n[0]) for w, c in seen[1].items() if len(w) >= 3}
     telling = {w for w, r in rate.items() if seen[1][w] >= 3 and r >= 8}
     own = [t & telling for t in toxic_texts]
-    toxic = list(dict.fromkeys([*_cover(own), *_alone(own, max(10, n[1] // 50))]))
+    share = n[1] / (n[0] + n[1])
+    total = sorted((seen[0][w] + c for w, c in seen[1].items()), reverse=True)
+    # So many toxic texts that chance alone would give such a word once in a hundred samples.
+    least = next(k for k in range(4, 4000) if share**k * np.searchsorted([-t for t in total], -k, side="right") < 0.01)
+    toxic = list(dict.fromkeys([*_cover(own), *_alone(own, least)]))
     clean_all = sorted(w for w in seen[0] if len(w) >= 3)
     if not toxic or not clean_all:
         return blank
@@ -222,7 +226,7 @@ def fit(texts: list[tuple[str, int]], seed: int = 7, decay: float = 0.5, landmar
     return calibrated(model, texts)
 
 
-def _cover(texts: list[set[str]], least: int = 2) -> list[str]:
+def _cover(texts: list[set[str]], least: int = 3) -> list[str]:
     """Few words that explain the toxic texts: always the one in most texts that no word explains yet.
 
     Near copies of a toxic text share many rare words; once its insult is taken, they explain nothing more.
