@@ -184,8 +184,10 @@ def base(text):
     return sorted(out)
 
 
-def test_op10_base(spark, small, docs):
-    got, some = rows(q.op10_secrets(spark, small)), 0
+def test_op10_base(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got, some = rows(q.op10_secrets(spark, sf)), 0
     for d, text in docs:
         spans = base(text)
         kinds = Counter(s[2] for s in spans)
@@ -196,3 +198,17 @@ def test_op10_base(spark, small, docs):
         assert set(line) <= set(r.spans.split(","))
         some += len(spans)
     assert some
+
+
+def test_op10_tokens(spark):
+    import public_tokenizers
+
+    from palimpsest.llm import secret_scan
+
+    with open(q.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = secret_scan.load_encoder(f.read(), public_tokenizers.PATTERN)
+    found = lambda text: [text[a:b] for a, _, b in secret_scan.token_spans(text, encode, 2.2)]
+    key = "ghp_x7Qz19vLk2Wd8RtYb3NcMf5"
+    assert found(f"use {key} now") == [key] and found(f"k={key}") == [key]
+    assert found("internationalisation get_user_by_name_2 CamelCaseIdentifierNames2") == []
+    assert found("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000") == []
