@@ -335,15 +335,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     labels: key and label (0 or 1) of the rows that may be learnt from. Repeated or null keys and
     null labels are left out. characters bounds the length of texts in the sample (longer ones aren't
-    drawn), so the driver gets at most 2 * each * characters.
+    drawn), so the driver gets about 4 * each texts of at most so many characters.
     """
-    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
-    short = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where((F.length("t") <= characters) & (F.length("t") > 0))
-    drawn = short.join(rows, "k").select("y", "t", F.xxhash64("k").alias("h"))
-    out: list[tuple[str, int]] = []
-    for y in (0, 1):
-        out += [(r.t, y) for r in drawn.where(F.col("y") == y).orderBy("h", "t").limit(each).collect()]
-    return fit(out)
+    named = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    rows = named.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z").withColumn("h", F.xxhash64("k"))
+    count = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    # Keys under a bound of their hashes that leaves about 2 * each of a label: so few that they can be broadcast and
+    # only their texts move.
+    share = F.when(F.col("y") == 1, 2e6 * each / max(1, count.get(1, 0))).otherwise(2e6 * each / max(1, count.get(0, 0)))
+    few = rows.where(F.pmod("h", F.lit(1_000_000)) < share)
+    drawn = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where((F.length("t") <= characters) & (F.length("t") > 0)).join(F.broadcast(few), "k")
+    out: dict[int, list[tuple[str, int]]] = {0: [], 1: []}
+    for r in sorted(drawn.select("h", "t", "y").collect()):
+        out[r.y].append((r.t, r.y))
+    return fit([*out[0][:each], *out[1][:each]])
 
 
 def score(docs: DataFrame, model: SubsequenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
