@@ -169,7 +169,7 @@ class WordTokenizer:
     def word(self, word: str) -> list[int]:
         known = self._known.get(word)
         if known is None:
-            if len(self._known) > 400_000:
+            if len(self._known) > 200_000:
                 self._known.clear()
             byte = self.byte
             known = self._known[word] = self.automaton.path("".join([byte[b] for b in word.encode()]) + END)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one call of a kernel sees at most (a longer single text is one call).
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 10 << 20
 
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
