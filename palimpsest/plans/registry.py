@@ -1,11 +1,322 @@
-"""Named queries over the driver's tables, and the same in SQL."""
+"""Named queries over the driver's tables, and the same in SQL.
+
+Each query applies a generic operator to whole tables; the SQL is what DuckDB runs beside it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from palimpsest.functions import bytes as B
+from palimpsest.operators import relational as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:  # noqa: N802
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+with d as (select 'doc-' || doc_id as name, sha1(text) as sha1, octet_length(encode(text)) as size from documents
+    union all select 'item-' || item_id, sha1(text), octet_length(encode(text)) from benchmark),
+g as (select sha1, size, count(*) as n, min(name) as name from d group by all)
+select doc_id, cast(g.size as bigint) as size, case when n = 1 then 'named' else 'duplicated' end as class, n as n_candidates, name
+from documents join g on g.sha1 = sha1(text) and g.size = octet_length(encode(text))""")
+def content_identify(spark, sf):
+    """Each document among all documents and test items: crc32 and size first, sha1 where several agree."""
+    facts = [F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").cast("bigint").alias("size"), F.sha1(F.col("text").cast("binary")).alias("sha1")]
+    docs = T(spark, sf, "documents").select("doc_id", *facts)
+    data = docs.select(F.concat(F.lit("doc-"), "doc_id").alias("name"), "crc", "size", "sha1").unionByName(
+        T(spark, sf, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("name"), *facts)
+    )
+    return R.identify(docs, data, "doc_id", "sha1", ["crc", "size"], "name").drop("crc")
+
+
+@query("select item_id from benchmark b where not exists (select 1 from documents d where d.text = b.text)")
+def content_unknown(spark, sf):
+    return T(spark, sf, "benchmark").join(T(spark, sf, "documents").select("text"), "text", "left_anti").select("item_id")
+
+
+@query("""select source, lang, count(*) as examined, cast(sum(n_chars) as bigint) as chars, max(n_chars) as longest,
+    count(*) filter (n_chars < 100) as short from documents group by source, lang""")
+def corpus_summary(spark, sf):
+    return T(spark, sf, "documents").groupBy("source", "lang").agg(
+        F.count("*").alias("examined"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.count_if(F.col("n_chars") < 100).alias("short")
+    )
+
+
+@query("select event_type, count(distinct user_id) as images, count(*) as occurrences from events group by event_type")
+def finding_histogram(spark, sf):
+    """Counts users with a type, not its occurrences: de-duplicated by a first, combining aggregation."""
+    each = T(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return each.groupBy("event_type").agg(F.count("*").alias("images"), F.sum("n").alias("occurrences"))
+
+
+SEVERITY = "case event_type when 'error' then 2 when 'purchase' then 1 else 0 end"
+
+
+@query(f"""select user_id, max({SEVERITY}) as worst, count(*) filter ({SEVERITY} = 0) as infos, count(*) filter ({SEVERITY} = 1) as warnings,
+    count(*) filter ({SEVERITY} = 2) as errors, max({SEVERITY}) < 1 as sound from events group by user_id""")
+def worst_severity(spark, sf):
+    rank = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
+    return T(spark, sf, "events").withColumn("s", rank).groupBy("user_id").agg(
+        F.max("s").alias("worst"), F.count_if(F.col("s") == 0).alias("infos"), F.count_if(F.col("s") == 1).alias("warnings"), F.count_if(F.col("s") == 2).alias("errors"),
+        (F.max("s") < 1).alias("sound"),
+    )
+
+
+@query("""
+with c as (select user_id, cast(ts as date) as day, event_type, count(*) as n, min(event_id) as first from events group by all),
+b as (select user_id, day, cast(sum(n) as bigint) as sources, count(*) as n_values, max(n) as top, arg_min(event_type, first) as fallback, arg_max(event_type, n) as leader from c group by all),
+l as (select user_id, day, count(*) as leaders from c join b using (user_id, day) where n = top group by all)
+select user_id, cast(day as varchar) as day, sources, n_values, case when n_values = 1 then 'unanimous' when leaders = 1 then 'resolved' else 'unresolved' end as state,
+    case when leaders = 1 then leader else fallback end as chosen from b join l using (user_id, day)""")
+def plurality_vote(spark, sf):
+    ballots = T(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return R.vote(ballots, ["user_id", "day"], "event_type", "event_id")
+
+
+@query("""
+with b as (select o_orderkey + 7 as o_orderkey, o_orderstatus, o_orderpriority from orders),
+j as (select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, a.o_orderkey as l, b.o_orderkey as r, a.o_orderstatus as ls, b.o_orderstatus as rs,
+    a.o_orderpriority as lp, b.o_orderpriority as rp from orders a full join b on a.o_orderkey = b.o_orderkey)
+select o_orderkey, 'only_left' as difference from j where r is null union all select o_orderkey, 'only_right' from j where l is null
+union all select o_orderkey, 'o_orderstatus' from j where l is not null and r is not null and ls is distinct from rs
+union all select o_orderkey, 'o_orderpriority' from j where l is not null and r is not null and lp is distinct from rp""")
+def dump_diff(spark, sf):
+    a = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return R.diff(a, a.withColumn("o_orderkey", F.col("o_orderkey") + 7), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""select doc_id, 'orphaned' as state from (select doc_id from documents except select doc_id from labels)
+union all select doc_id, 'at_risk' from (select doc_id from labels except select doc_id from documents)""")
+def set_audit(spark, sf):
+    return R.set_audit(T(spark, sf, "documents"), T(spark, sf, "labels"), "doc_id")
+
+
+@query("""
+with f as (select doc_id, case when n_chars < 200 then 0 else 1 end as quality, case when text like '%idiot%' then 1 else 0 end as toxic from documents),
+j as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id as l, b.doc_id as r, a.quality as lq, b.quality as rq, a.toxic as lt, b.toxic as rt from labels a full join f b on a.doc_id = b.doc_id)
+select doc_id, 'only_left' as difference from j where r is null union all select doc_id, 'only_right' from j where l is null
+union all select doc_id, 'quality' from j where l is not null and r is not null and lq <> rq
+union all select doc_id, 'toxic' from j where l is not null and r is not null and lt <> rt""")
+def full_compare(spark, sf):
+    d = T(spark, sf, "documents")
+    facts = d.select("doc_id", F.when(F.col("n_chars") < 200, 0).otherwise(1).alias("quality"), F.contains("text", F.lit("idiot")).cast("int").alias("toxic"))
+    return R.diff(T(spark, sf, "labels"), facts, ["doc_id"], ["quality", "toxic"])
+
+
+@query("""
+with f as (select l_partkey, arg_min(l_orderkey, (l_orderkey, l_linenumber)) as first_owner, count(distinct l_orderkey) as owners from lineitem group by all)
+select l_partkey, count(*) as shared, min(first_owner) as first_owner from lineitem join f using (l_partkey) where owners > 1 and l_orderkey <> first_owner group by l_partkey""")
+def cross_link(spark, sf):
+    lines = T(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    return R.first_owner(lines, "l_partkey", "l_orderkey", ["l_orderkey", "l_linenumber"]).groupBy("l_partkey").agg(F.count("*").alias("shared"), F.min("first_owner").alias("first_owner"))
+
+
+@query("""
+with a as (select *, case when event_type is distinct from lag(event_type) over w then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+b as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from a)
+select user_id, event_type, min(event_id) as first, max(event_id) as last, count(*) as rows from b group by user_id, run, event_type""")
+def spans(spark, sf):
+    return R.islands(T(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+@query("""
+with a as (select source, doc_id, doc_id - row_number() over (partition by source order by doc_id) as run from documents)
+select source, min(doc_id) as first, max(doc_id) as last, count(*) as rows from a group by source, run""")
+def run_collapse(spark, sf):
+    return R.islands(T(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], [], step="doc_id")
+
+
+MAGICS = [("doctype", "<!DOCTYPE"), ("html", "<!DOCTYPE html>"), ("html-lang", '<!DOCTYPE html><html lang="en">'), ("bare", "<html"), ("licence", "Licensed under"), ("the", "The ")]
+VALUES = ", ".join(f"('{n}', '{m}')" for n, m in MAGICS)
+
+
+@query(f"""with s(name, magic) as (values {VALUES})
+select page_id, name, magic_length from (select page_id, name, cast(length(magic) as int) as magic_length,
+    row_number() over (partition by page_id order by length(magic) desc, name) as k from pages, s where starts_with(html, magic)) where k = 1""")
+def best_match_dedupe(spark, sf):
+    hits = R.scan_prefixes(T(spark, sf, "pages"), "page_id", "html", spark.createDataFrame(MAGICS, "name string, magic string"))
+    return R.most_specific(hits, ["page_id"], "magic_length", "name")
+
+
+@query(f"""with s(name, magic) as (values {VALUES}),
+x as (select 'page' as kind, page_id as id, html as body from pages union all select 'document', doc_id, text from documents)
+select kind, name, count(*) as hits, min(id) as first_id from x, s where starts_with(body, magic) group by kind, name""")
+def signature_scan(spark, sf):
+    body = T(spark, sf, "pages").select(F.struct(F.lit("page").alias("kind"), F.col("page_id").alias("id")).alias("k"), F.col("html").alias("body"))
+    body = body.unionByName(T(spark, sf, "documents").select(F.struct(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).alias("k"), F.col("text").alias("body")))
+    hits = R.scan_prefixes(body, "k", "body", spark.createDataFrame(MAGICS, "name string, magic string"))
+    return hits.groupBy(F.col("k.kind").alias("kind"), "name").agg(F.count("*").alias("hits"), F.min("k.id").alias("first_id"))
+
+
+OVERLAPS = "select doc_id, i - 1 as at, (i - 1) // 512 as block from (select doc_id, text, unnest(range(1, length(text) - 2)) as i from documents where contains(text, 'anan')) where substr(text, i, 4) = 'anan'"
+
+
+@query(OVERLAPS)
+def overlap_search(spark, sf):
+    return R.find(T(spark, sf, "documents"), "doc_id", "text", "anan")
+
+
+@query(f"""with h as ({OVERLAPS}) select h.doc_id, h.at, h.block, coalesce(case when l.doc_id is not null then 'labelled' end, 'unclaimed') as region, l.quality
+from h left join labels l on l.doc_id = h.doc_id""")
+def attribution(spark, sf):
+    owners = T(spark, sf, "labels").select("doc_id", "quality", F.lit("labelled").alias("region"))
+    return R.attribute(R.find(T(spark, sf, "documents"), "doc_id", "text", "anan"), owners, ["doc_id"])
+
+
+@query("""
+with o as (select * from lineitem l where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F'))
+select l_orderkey, count(*) as blocks, count(*) filter (l_quantity > 10) as good,
+    case when count(*) filter (l_quantity > 10) = 0 then 'header only' when count(*) = count(*) filter (l_quantity > 10) then 'self-evident' else 'partial' end as grade from o group by l_orderkey""")
+def carve_orphans(spark, sf):
+    """What no live owner claims, graded by how much of it proves itself."""
+    live = T(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    loose = T(spark, sf, "lineitem").join(live, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("blocks"), F.count_if(F.col("l_quantity") > 10).alias("good"))
+    return loose.withColumn("grade", F.when(F.col("good") == 0, "header only").when(F.col("good") == F.col("blocks"), "self-evident").otherwise("partial"))
+
+
+@query("select upper(p_name) as folded, count(*) as entries, min(p_partkey) as first_key from part group by 1 having count(*) > 1")
+def duplicate_names(spark, sf):
+    folded = T(spark, sf, "part").select(B.fold(F.col("p_name"), True).alias("folded"), "p_partkey")
+    return folded.groupBy("folded").agg(F.count("*").alias("entries"), F.min("p_partkey").alias("first_key")).where("entries > 1")
+
+
+@query("""select p_partkey, list_reduce(list_prepend(cast(length(p_name) as bigint), list_transform(string_split(upper(p_name), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda h, c: (h * 13 + c) & 2047) % 72 as slot from part""")
+def name_hash(spark, sf):
+    return T(spark, sf, "part").select("p_partkey", B.name_hash(F.col("p_name"), 72).alias("slot"))
+
+
+@query("""select r_name as region, r_name || '/' || n_name || '/' || c_name as path, 2 as depth, c_custkey as leaf from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey""")
+def tree_walk(spark, sf):
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nation, customer, region = (T(spark, sf, t) for t in ("nation", "customer", "region"))
+    edges = nation.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).unionByName(customer.select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child")))
+    reached = R.walk(edges, region.select(name("r", "r_regionkey").alias("node")), 4).where("depth = 2")
+    out = reached.join(customer.select(name("c", "c_custkey").alias("node"), "c_custkey", "c_name"), "node")
+    out = out.join(nation.select(name("n", "n_nationkey").alias("nn"), "n_name"), F.element_at("path", 2) == F.col("nn")).join(region.select(name("r", "r_regionkey").alias("rr"), "r_name"), F.element_at("path", 1) == F.col("rr"))
+    return out.select(F.col("r_name").alias("region"), F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), "depth", F.col("c_custkey").alias("leaf"))
+
+
+@query("""with recursive t(conv_id, turn, n, chars) as (select conv_id, turn, 1, length(text) from conversations where turn = 0
+    union all select c.conv_id, c.turn, t.n + 1, t.chars + length(c.text) from t join conversations c on c.conv_id = t.conv_id and c.turn = t.turn + 1)
+select conv_id, cast(max(n) as int) as turns, cast(max(chars) as bigint) as chars from t group by conv_id""")
+def turn_chain(spark, sf):
+    """A chain by turn numbers: the run that begins at turn 0, found by islands rather than by steps."""
+    c = T(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("chars"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    run = c.withColumn("at", F.row_number().over(w) - 1).where("at = turn")
+    return run.groupBy("conv_id").agg(F.count("*").cast("int").alias("turns"), F.sum("chars").alias("chars"))
+
+
+@query("""select s_nationkey as caller, p_brand as callee, count(*) as calls, count(distinct s_suppkey) as sites from lineitem join supplier on s_suppkey = l_suppkey
+    join part on p_partkey = l_partkey group by all""")
+def call_graph_leaves(spark, sf):
+    pairs = T(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    both = pairs.join(T(spark, sf, "supplier"), pairs.l_suppkey == F.col("s_suppkey")).join(T(spark, sf, "part"), pairs.l_partkey == F.col("p_partkey"))
+    return both.groupBy(F.col("s_nationkey").alias("caller"), F.col("p_brand").alias("callee")).agg(F.sum("n").alias("calls"), F.count_distinct("s_suppkey").alias("sites"))
+
+
+@query("""select event_id, user_id, (select max_by(c.event_id, (c.ts, c.event_id)) from events c where c.user_id = e.user_id and c.event_type = 'click' and c.ts <= e.ts) as last_click
+from events e where event_type <> 'click'""")
+def asof_code(spark, sf):
+    e = T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return R.as_of(e.where("event_type <> 'click'"), clicks, ["user_id"], "ts", "click").select("event_id", "user_id", "last_click")
+
+
+@query("""select o_orderkey, case when year(o_orderdate) < 1996 then 'early' when year(o_orderdate) < 1999 then 'middle' when year(o_orderdate) < 2010 then 'late' end as era from orders""")
+def range_partition(spark, sf):
+    eras = spark.createDataFrame([(0, 1996, "early"), (1996, 1999, "middle"), (1999, 2010, "late")], "low int, high int, era string")
+    return R.in_ranges(T(spark, sf, "orders").withColumn("y", F.year("o_orderdate")), "y", eras, "low", "high", "era").select("o_orderkey", "era")
+
+
+@query("select doc_id, len(x) as runs, x[1] as first_run from (select doc_id, regexp_extract_all(text, '[A-Za-z]{14,}') as x from documents)")
+def strings_extract(spark, sf):
+    x = F.regexp_extract_all("text", F.lit("[A-Za-z]{14,}"), F.lit(0))
+    return T(spark, sf, "documents").select("doc_id", F.size(x).cast("bigint").alias("runs"), F.get(x, F.lit(0)).alias("first_run"))
+
+
+@query("""select doc_id, length(text) >= 4 and 10 * length(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) >= 7 * length(text) as plausible,
+    4 * length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) <= length(text) as readable from documents""")
+def text_plausible(spark, sf):
+    n = F.length("text")
+    kept = lambda p: F.length(F.regexp_replace("text", p, ""))
+    return T(spark, sf, "documents").select("doc_id", ((n >= 4) & (10 * kept("[^A-Za-z0-9 ]") >= 7 * n)).alias("plausible"), (4 * kept("[\\x00-\\x7F]") <= n).alias("readable"))
+
+
+@query("select page_id, regexp_matches(html, '(^|[^A-Za-z0-9_.])example\\.com') as bare, contains(html, 'example.com') as anywhere from pages")
+def name_boundary(spark, sf):
+    return T(spark, sf, "pages").select("page_id", B.bare_name_in(F.col("html"), "example.com").alias("bare"), F.contains("html", F.lit("example.com")).alias("anywhere"))
+
+
+@query("""select event_id, date_diff('day', date '1978-01-01', cast(ts as date)) as days, hour(ts) * 60 + minute(ts) as minutes,
+    second(ts) * 50 as ticks, cast(cast(ts as date) as varchar) as day, hour(ts) as hour, minute(ts) as minute, second(ts) as second from events""")
+def datestamp(spark, sf):
+    """Timestamps to days, minutes and ticks, and back through the stamp's reader."""
+    e = T(spark, sf, "events").select(
+        "event_id", F.datediff(F.to_date("ts"), F.lit("1978-01-01").cast("date")).cast("bigint").alias("days"), (F.hour("ts") * 60 + F.minute("ts")).cast("bigint").alias("minutes"),
+        (F.second("ts") * 50).cast("bigint").alias("ticks"),
+    )
+    stamp = B.datestamp(F.col("days"), F.col("minutes"), F.col("ticks"))
+    return e.withColumn("s", stamp).select("event_id", "days", "minutes", "ticks", F.col("s.date").cast("string").alias("day"), *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("hour", "minute", "second")])
+
+
+@query("""select id, kind from (select page_id as id, case when starts_with(html, '<!DOCTYPE html') then 'html' when html = '' then 'empty' else 'text' end as kind from pages
+union all select doc_id, case when starts_with(text, '<!DOCTYPE html') then 'html' when text = '' then 'empty' else 'text' end from documents)""")
+def file_kind(spark, sf):
+    body = T(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("b")).unionByName(T(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("b")))
+    return body.select("id", F.when(F.startswith("b", F.lit("<!DOCTYPE html")), "html").when(F.col("b") == "", "empty").otherwise("text").alias("kind"))
+
+
+@query("""
+with k(code) as (values ('adf'), ('extended-adf'), ('rdb'), ('hardfile'), ('gzip'), ('dms'), ('scp'), ('ipf'))
+select a.code as source, b.code as target, case when b.code in ('ipf', 'dms') then 'refused' when b.code in ('scp', 'gzip', 'rdb') then 'not implemented'
+    when b.code = 'extended-adf' then case when a.code in ('adf', 'hardfile', 'gzip', 'extended-adf') then 'lossless' else 'not implemented' end
+    when a.code in ('gzip', 'adf', 'hardfile', 'rdb') then 'lossless' when a.code in ('extended-adf', 'scp') then 'lossy' else 'not implemented' end as verdict
+from k a, k b where a.code <> b.code""")
+def conversion_matrix(spark, sf):
+    from palimpsest.plans import formats
+
+    return formats.matrix(spark)
+
 
-def queries() -> dict:
-    return {}
+@query("""
+with r as (select *, row_number() over (partition by event_type order by value desc, event_id) as k from events)
+select event_type, k as rank, cast(event_id as varchar) as item, cast(1 as bigint) as rows from r where k <= 20
+union all select event_type, cast(21 as bigint), 'more', count(*) - 20 from events group by event_type having count(*) > 20""")
+def top_findings(spark, sf):
+    return R.top_and_rest(T(spark, sf, "events"), ["event_type"], [F.desc("value"), "event_id"], 20, "event_id")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""select n_nationkey, '{"schema":"1.0","key":' || n_nationkey || ',"name":"' || n_name || '","region":"' || r_name || '","note":null}' as doc from nation join region on r_regionkey = n_regionkey""")
+def json_doc(spark, sf):
+    n = T(spark, sf, "nation").join(T(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    doc = F.struct(F.lit("1.0").alias("schema"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("r_name").alias("region"), F.lit(None).cast("string").alias("note"))
+    return n.select("n_nationkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
