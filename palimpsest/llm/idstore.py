@@ -117,6 +117,9 @@ def publish(uri: str, name: str, write) -> None:
 # Encoding
 
 
+_MET: dict[int, dict[bytes, bytes]] = {}
+
+
 class PieceEncoder:
     """Whole texts through the tokenizers library, each distinct run of a batch once.
 
@@ -130,6 +133,7 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.key = hash(definition)
         spec = json.loads(definition)
         pre = spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -173,6 +177,23 @@ class PieceEncoder:
             flat[gather(begins[group], sizes[group])] = ids
         return flat, sizes
 
+    def known(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As distinct(); runs that this process has met lately aren't encoded again."""
+        held = _MET.setdefault(self.key, {})
+        pieces = [held.get(r) for r in runs]
+        new = [i for i, p in enumerate(pieces) if p is None]
+        if new:
+            flat, sizes = self.distinct([runs[i] for i in new])
+            data, ends = flat.tobytes(), (np.cumsum(sizes) * 4).tolist()
+            if len(held) + len(new) > 400_000:
+                held.clear()
+            low = 0
+            for i, end in zip(new, ends, strict=True):
+                pieces[i] = held[runs[i]] = data[low:end]
+                low = end
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        return np.frombuffer(b"".join(pieces), np.uint32), sizes
+
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the texts' bounds among them."""
         data, offsets = raw(column)
@@ -186,7 +207,7 @@ class PieceEncoder:
         runs = binary_array(data, cuts)
         d = runs.dictionary_encode()
         codes = d.indices.to_numpy(zero_copy_only=False)
-        flat, sizes = self.distinct(d.dictionary.to_pylist())
+        flat, sizes = self.known(d.dictionary.to_pylist())
         begins = np.cumsum(sizes) - sizes
         n = sizes[codes]
         return flat[gather(begins[codes], n)], np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cuts, offsets)]

@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     edges = edges.join(chief.select(F.col("fp").alias("a"), F.col("chief").alias("x")), "a").join(chief.select(F.col("fp").alias("b"), F.col("chief").alias("y")), "b").select("x", "y")
     same = contents.join(chief, "fp").where("content <> chief").select(F.col("content").alias("x"), F.col("chief").alias("y"))
     pairs = materialise(edges.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select("b")).distinct().join(contents, "content").select("content", "least.k", "least.h")
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct().join(contents, "content").select("content", "least.k", "least.h")
     texts = materialise(source.join(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).groupBy("content").agg(F.first("t").alias("t")), "texts")
     both = pairs.join(texts.select(F.col("content").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("content").alias("b"), F.col("t").alias("tb")), "b")
     linked = both.select("a", "b", "ta", "tb").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
