@@ -268,7 +268,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
         return kernel
 
-    return annotate(docs, [key], text, make, [("ids", "array<int>"), ("decoded", "string")])
+    return annotate(docs, [key], text, make, [("ids", "array<int>"), ("decoded", "string")], most=6 << 20)
 
 
 _COMPILED: dict[int, WordTokenizer] = {}

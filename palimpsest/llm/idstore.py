@@ -256,7 +256,7 @@ def write_store(docs: DataFrame, root: str, vocabulary: str, key: str = "doc_id"
             out.write(MAGIC + width.to_bytes(4, "little") + bytes(4))
             done = 0
             for batch in batches:
-                for part in sliced(batch, 1):
+                for part in sliced(batch, 1, 8 << 20):
                     ids, bounds = encoder.batch(part.column(1))
                     n = np.diff(bounds) + 1
                     flat = np.full(int(n.sum()), end_id, f"<u{width}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one call of a kernel sees at most (a longer single text is one call).
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 4 << 20
 
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -126,14 +126,14 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps)[:size] > 0
 
 
-def sliced(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most SLICE_BYTES of text."""
+def sliced(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most so many bytes of text."""
     if not batch.num_rows:
         return
     _, offsets = raw(batch.column(text_at))
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
         yield batch.slice(low, high - low)
         low = high
 
@@ -141,7 +141,18 @@ def sliced(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
 Kernel = Callable[[pa.Array], list]
 
 
-def annotate(df: DataFrame, keys: list[str], text: str, make: Callable[[], Kernel], fields: list[tuple[str, str]]) -> DataFrame:
+def release() -> None:
+    """Gives what a finished task no longer needs back to the system; Python workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def annotate(df: DataFrame, keys: list[str], text: str, make: Callable[[], Kernel], fields: list[tuple[str, str]], most: int = SLICE_BYTES) -> DataFrame:
     """The key columns, and what the kernel makes of each row's text (null: empty).
 
     make runs once in each task and returns a function from a text column to one Arrow
@@ -158,9 +169,10 @@ def annotate(df: DataFrame, keys: list[str], text: str, make: Callable[[], Kerne
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in sliced(batch, n_keys):
+            for part in sliced(batch, n_keys, most):
                 made = kernel(part.column(n_keys))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], *made], names=names)
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -174,6 +186,7 @@ def transform_texts(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Re
         for batch in batches:
             for part in sliced(batch, at):
                 yield kernel(part, part.column(at).fill_null(""))
+        release()
 
     return df.mapInArrow(run, df.schema)
 

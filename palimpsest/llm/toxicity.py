@@ -119,8 +119,8 @@ class SubsequenceModel:
         lengths = (rows >= 0).sum(axis=1)
         for m in range(3, WINDOW + 1):
             pick = np.flatnonzero(lengths == m)
-            for low in range(0, len(pick), 65536):
-                at = pick[low : low + 65536]
+            for low in range(0, len(pick), 8192):
+                at = pick[low : low + 8192]
                 cols = [np.ascontiguousarray(rows[at, q]).astype(np.int32) for q in range(m)]
                 s = np.zeros(len(at), np.float32)
                 for i in range(m - 2):
@@ -134,10 +134,10 @@ class SubsequenceModel:
     def words(self, words: list[str]) -> np.ndarray:
         """The largest value of each word's windows."""
         out = np.full(len(words), self.bias)
-        for low in range(0, len(words), 200_000):
-            rows, owner = self.alphabet.rows(words[low : low + 200_000])
+        for low in range(0, len(words), 50_000):
+            rows, owner = self.alphabet.rows(words[low : low + 50_000])
             if len(rows):
-                part = np.full(len(words[low : low + 200_000]), -np.inf)
+                part = np.full(len(words[low : low + 50_000]), -np.inf)
                 np.maximum.at(part, owner, self.score_windows(rows))
                 out[low : low + len(part)] = np.maximum(part, self.bias - 9)
         return out
