@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.textkit import LOWER, Words, annotate, materialise, raw, sized
+from palimpsest.llm.textkit import LOWER, Words, annotate, materialise, raw, release, sized, sliced
 
 BLOCK = 512
 
@@ -241,6 +241,7 @@ def fingerprint_edges(fps: DataFrame, radius: int, sample_size: int = 20_000, le
             a, b = shard_edges(np.concatenate(homes[k]), np.concatenate(queries.get(k, [np.zeros(0, np.uint64)])), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release()
 
     return rows.repartition(sized(fps.sparkSession), "task").mapInArrow(run, "a long, b long")
 
@@ -285,13 +286,14 @@ def _similar(similarity: float, shingle: int):
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                keep = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= similarity * (len(x) + len(y) - both))
-                yield part.filter(pa.array(keep)).select([0, 1])
+            for half in sliced(batch, 2, 1 << 20):
+                for part in sliced(half, 3, 1 << 20):
+                    keep = []
+                    for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        keep.append(both >= similarity * (len(x) + len(y) - both))
+                    yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        release()
 
     return run
 
