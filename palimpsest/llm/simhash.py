@@ -168,7 +168,8 @@ def near_pairs(homes: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[
 
 
 def shard_edges(homes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between queries and homes. Close links are taken before wide ones."""
+    """A spanning forest of the links between queries and homes, the same in whatever order these come. Close links are taken before wide ones."""
+    homes, queries = np.sort(homes), np.sort(queries)
     nodes = np.unique(np.concatenate([homes, queries]))
     forest = Forest(len(nodes))
     of_home, of_query = np.searchsorted(nodes, homes), np.searchsorted(nodes, queries)
