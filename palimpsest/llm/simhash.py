@@ -68,41 +68,50 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return annotate(docs, [key], text, make, [("fp", "bigint")])
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits; a fingerprint's 64-bit words lie along the first axis."""
+    out = np.bitwise_count(x[0] ^ y[0])
+    for a, b in zip(x[1:], y[1:], strict=True):
+        out = out + np.bitwise_count(a ^ b)
+    return out
+
+
 class VantageTree:
-    """Vantage points and split distances of a complete binary tree over 64-bit fingerprints, in heap order."""
+    """Vantage points and split distances of a complete binary tree over fingerprints (words by rows), in heap order."""
 
     def __init__(self, sample: np.ndarray, depth: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.depth = depth
-        self.point = np.zeros(1 << depth, np.uint64)
+        self.point = np.zeros((len(sample), 1 << depth), np.uint64)
         self.split = np.zeros(1 << depth, np.int64)
         parts = {1: sample}
         for node in range(1, 1 << depth):
             part = parts.pop(node)
-            if len(part):
-                tries = part[rng.integers(0, len(part), min(8, len(part)))]
-                each = np.bitwise_count(tries[:, None] ^ part[None, : 2048]).astype(np.int64)
+            n = part.shape[1]
+            if n:
+                tries = part[:, rng.integers(0, n, min(8, n))]
+                each = distance(tries[:, :, None], part[:, None, :2048]).astype(np.int64)
                 best = int(np.argmax(each.var(axis=1)))  # a point that tells distances apart
-                self.point[node] = tries[best]
-                d = np.bitwise_count(part ^ tries[best])
+                self.point[:, node] = tries[:, best]
+                d = distance(part, tries[:, best, None])
                 self.split[node] = int(np.median(d))
                 inner = d <= self.split[node]
             else:
                 inner = np.zeros(0, bool)
-            parts[2 * node], parts[2 * node + 1] = part[inner], part[~inner]
+            parts[2 * node], parts[2 * node + 1] = part[:, inner], part[:, ~inner]
 
     def home(self, fps: np.ndarray) -> np.ndarray:
-        node = np.ones(len(fps), np.int64)
+        node = np.ones(fps.shape[1], np.int64)
         for _ in range(self.depth):
-            d = np.bitwise_count(fps ^ self.point[node])
+            d = distance(fps, self.point[:, node])
             node = 2 * node + (d > self.split[node])
         return node - (1 << self.depth)
 
     def visits(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of fingerprints and the leaves that may hold something within the radius of them."""
-        at, node = np.arange(len(fps)), np.ones(len(fps), np.int64)
+        at, node = np.arange(fps.shape[1]), np.ones(fps.shape[1], np.int64)
         for _ in range(self.depth):
-            d = np.bitwise_count(fps[at] ^ self.point[node]).astype(np.int64)
+            d = distance(fps[:, at], self.point[:, node]).astype(np.int64)
             inner, outer = d - radius <= self.split[node], d + radius > self.split[node]
             at, node = np.concatenate([at[inner], at[outer]]), np.concatenate([2 * node[inner], 2 * node[outer] + 1])
         return at, node - (1 << self.depth)
@@ -114,6 +123,11 @@ class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
+    def copy(self) -> Forest:
+        out = Forest(0)
+        out.up = self.up.copy()
+        return out
+
     def settle(self) -> np.ndarray:
         while True:
             new = self.up[self.up]
@@ -139,57 +153,78 @@ class Forest:
         return np.concatenate(used) if used else np.zeros(0, np.int64)
 
 
-def near_pairs(homes: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of queries and homes within the radius, block by block and nearer ones of a block first, by a tree over the homes."""
-    stack = [(np.arange(len(homes)), np.arange(len(queries)), 0)]
+def near_pairs(homes: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of queries and homes within the radius and their distances, block by block and nearer ones of a block first, by a tree over the homes."""
+    stack = [(np.arange(homes.shape[1]), np.arange(queries.shape[1]), 0)]
     while stack:
         h, q, depth = stack.pop()
         if not len(h) or not len(q):
             continue
         if len(h) > BLOCK and depth < 40:
-            point = homes[h[(len(h) * 7919 + depth * 104729) % len(h)]]
-            dh = np.bitwise_count(homes[h] ^ point).astype(np.int64)
+            point = homes[:, h[(len(h) * 7919 + depth * 104729) % len(h)], None]
+            dh = distance(homes[:, h], point).astype(np.int64)
             split = int(np.median(dh))
             inner = dh <= split
             if 0 < inner.sum() < len(h):
-                dq = np.bitwise_count(queries[q] ^ point).astype(np.int64)
+                dq = distance(queries[:, q], point).astype(np.int64)
                 stack.append((h[inner], q[dq - radius <= split], depth + 1))
                 stack.append((h[~inner], q[dq + radius > split], depth + 1))
                 continue
         for low in range(0, len(h), BLOCK):
-            block = homes[h[low : low + BLOCK]]
-            step = max(1, (1 << 21) // len(block))
+            block = homes[:, None, h[low : low + BLOCK]]
+            step = max(1, (1 << 21) // block.shape[2])
             for lo in range(0, len(q), step):
-                apart = np.bitwise_count(queries[q[lo : lo + step], None] ^ block[None, :])
+                apart = distance(queries[:, q[lo : lo + step], None], block)
                 a, b = np.nonzero(apart <= radius)
                 if len(a):
-                    order = np.argsort(apart[a, b], kind="stable")
-                    yield q[lo + a[order]], h[low + b[order]]
-
-
-def shard_edges(homes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between queries and homes, the same in whatever order these come. Close links are taken before wide ones."""
-    homes, queries = np.sort(homes), np.sort(queries)
-    nodes = np.unique(np.concatenate([homes, queries]))
-    forest = Forest(len(nodes))
-    of_home, of_query = np.searchsorted(nodes, homes), np.searchsorted(nodes, queries)
-    left, right = [], []
-    for r in sorted({min(4, radius), radius}):
-        for q, h in near_pairs(homes, queries, r):
-            a, b = of_query[q], of_home[h]
-            used = forest.join(a, b)
-            left.append(a[used])
-            right.append(b[used])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return nodes[np.concatenate(left)].view(np.int64), nodes[np.concatenate(right)].view(np.int64)
+                    d = apart[a, b]
+                    order = np.argsort(d, kind="stable")
+                    yield q[lo + a[order]], h[low + b[order]], d[order]
+
+
+def shard_edges(homes: np.ndarray, home_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of linked queries and homes, the same in whatever order these come.
+
+    A spanning forest of the links within the first limit; then, for each further limit, one of the
+    links between it and the limit before, among what the first forest leaves apart. So of links that are still to be
+    tested, a close one never stands in for a wider one of another band.
+    """
+    by_home, by_query = np.argsort(home_ids, kind="stable"), np.argsort(query_ids, kind="stable")
+    homes, home_ids, queries, query_ids = homes[:, by_home], home_ids[by_home], queries[:, by_query], query_ids[by_query]
+    nodes = np.unique(np.concatenate([home_ids, query_ids]))
+    of_home, of_query = np.searchsorted(nodes, home_ids), np.searchsorted(nodes, query_ids)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(forest: Forest, q: np.ndarray, h: np.ndarray) -> None:
+        a, b = of_query[q], of_home[h]
+        used = forest.join(a, b)
+        left.append(a[used])
+        right.append(b[used])
+
+    close = Forest(len(nodes))
+    for q, h, _ in near_pairs(homes, queries, limits[0]):
+        take(close, q, h)
+    if limits[1:]:
+        bands = [close.copy() for _ in limits[1:]]
+        for q, h, d in near_pairs(homes, queries, limits[-1]):
+            band = np.searchsorted(limits, d)
+            for k, forest in enumerate(bands, 1):
+                some = band == k
+                take(forest, q[some], h[some])
+    return nodes[np.concatenate(left)], nodes[np.concatenate(right)]
+
+
+def _numbers(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """The columns from `first` on as unsigned words by rows."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, batch.num_columns)])
 
 
 def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, query_rows: int) -> DataFrame:
-    """Rows (shard, part, home, fp): each fingerprint in its leaf, and as a query wherever the radius reaches; part cuts a leaf's queries."""
-    spark = fps.sparkSession
+    """Rows (task, home, id, words): each fingerprint in its leaf, and as a query wherever the radius reaches; a task has a leaf's homes and a part of its queries."""
+    spark, words = fps.sparkSession, fps.columns[1:]
     n = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp")).limit(sample_size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = fps.orderBy(F.xxhash64(*words)).limit(sample_size).toPandas()
+    sample = np.stack([sample[w].to_numpy(np.int64).view(np.uint64) for w in words])
     wanted = max(n / leaf_size, min(n / BLOCK, 8))
     depth = max(0, min(14, int(np.ceil(np.log2(max(1.0, wanted))))))
     tree = spark.sparkContext.broadcast(VantageTree(sample, depth))
@@ -198,48 +233,48 @@ def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, quer
     def run(batches):
         t = tree.value
         for batch in batches:
-            f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            ids, f = batch.column(0).to_numpy(zero_copy_only=False), _numbers(batch, 1)
             home = t.home(f)
             at, leaf = t.visits(f, radius)
             # Of two leaves that reach each other, the later one's task finds the pairs.
             later = leaf >= home[at]
             at, leaf = at[later], leaf[later]
             # A home is wanted by each part of its leaf's queries.
-            cut = ((f * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+            cut = ((f[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
             shard = np.concatenate([np.repeat(home, parts), leaf])
-            part = np.concatenate([np.tile(np.arange(parts), len(f)), cut[at]])
-            is_home = np.concatenate([np.ones(len(f) * parts, bool), np.zeros(len(at), bool)])
+            part = np.concatenate([np.tile(np.arange(parts), len(home)), cut[at]])
+            is_home = np.concatenate([np.ones(len(home) * parts, bool), np.zeros(len(at), bool)])
+            row = np.concatenate([np.repeat(np.arange(len(home)), parts), at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard * parts + part), pa.array(is_home), pa.array(np.concatenate([np.repeat(f, parts), f[at]]).view(np.int64))],
-                names=["task", "home", "fp"],
+                [pa.array(shard * parts + part), pa.array(is_home), pa.array(ids[row]), *[pa.array(w[row].view(np.int64)) for w in f]], names=["task", "home", "id", *words]
             )
 
-    return fps.mapInArrow(run, "task long, home boolean, fp long")
+    return fps.mapInArrow(run, "task long, home boolean, id long, " + ", ".join(f"{w} long" for w in words))
 
 
-def fingerprint_edges(fps: DataFrame, radius: int, sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) within the radius of each other, over any number of steps.
+def fingerprint_edges(fps: DataFrame, limits: list[int], sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) between ids of fingerprints within the last limit of each other (see shard_edges).
 
+    fps has an id (long) and the words of a fingerprint (long each), distinct both. With one limit, the edges
+    connect what any number of links connects.
     sample_size bounds the fingerprints that the driver sees; every fingerprint is then placed and queried.
     """
-    rows = _sharded(fps, radius, sample_size, leaf_size, query_rows)
+    rows = _sharded(fps, limits[-1], sample_size, leaf_size, query_rows)
 
     def run(batches):
-        homes: dict[int, list] = {}
-        queries: dict[int, list] = {}
+        shards: dict[int, list] = {}
         for batch in batches:
             task = batch.column(0).to_numpy(zero_copy_only=False)
             home = batch.column(1).to_numpy(zero_copy_only=False)
-            f = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            ids, f = batch.column(2).to_numpy(zero_copy_only=False), _numbers(batch, 3)
             order = np.argsort(task, kind="stable")
             cut = np.flatnonzero(np.diff(task[order])) + 1
             for group in np.split(order, cut):
                 if len(group):
-                    k = int(task[group[0]])
-                    homes.setdefault(k, []).append(f[group][home[group]])
-                    queries.setdefault(k, []).append(f[group][~home[group]])
-        for k in sorted(homes):
-            a, b = shard_edges(np.concatenate(homes[k]), np.concatenate(queries.get(k, [np.zeros(0, np.uint64)])), radius)
+                    h, q = group[home[group]], group[~home[group]]
+                    shards.setdefault(int(task[group[0]]), []).append((f[:, h], ids[h], f[:, q], ids[q]))
+        for k in sorted(shards):
+            a, b = shard_edges(*[np.concatenate(x, axis=-1) for x in zip(*shards.pop(k), strict=True)], limits)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         release()
@@ -257,22 +292,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     marked = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    found = components(fingerprint_edges(nodes.select("fp"), radius))
+    found = components(fingerprint_edges(nodes.select(F.col("fp").alias("id"), "fp"), [radius]))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = rooted.join(least, "root").select("fp", "component")
     return marked.join(by_fp, "fp").select(key, "fp", "component")
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits made of each hash's."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def distinct_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes without repeats, and their bounds."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(bounds)))
+
+
 def contents_kernel(shingle: int):
+    """128-bit fingerprint (two longs) of a text's set of shingles, and a hash of its words."""
+
     def kernel(column: pa.Array) -> list:
         data, offsets = raw(column)
         words = Words(LOWER[data], offsets)
-        hashes, bounds = shingle_hashes(words, shingle)
+        hashes, bounds = distinct_hashes(*shingle_hashes(words, shingle))
         text, starts, ends = words.joined()
         at = words.bounds.tolist()
         own = [xxhash.xxh64_intdigest(text[starts[a] : ends[b - 1]] if b > a else b"", 7) for a, b in zip(at, at[1:], strict=False)]
-        return [pa.array(majority(hashes, bounds).view(np.int64)), pa.array(np.array(own, np.uint64).view(np.int64))]
+        return [pa.array(x.view(np.int64)) for x in (majority(hashes, bounds), majority(mixed(hashes), bounds), np.array(own, np.uint64))]
 
     return kernel
 
@@ -299,23 +353,23 @@ def _similar(similarity: float, shingle: int):
     return run
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, limits: tuple[int, ...] = (10, 15, 20, 25, 30, 34), similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest key; all columns stay.
 
     Two texts are near duplicates if the sets of their runs of `shingle` words have at least the Jaccard similarity; candidates are
-    fingerprints within the radius, of which a forest with the closest links is compared in full. Texts with equal words are one node.
+    128-bit fingerprints within the last limit (at 0.8 about 19 bits differ, in very few pairs more than 34), of which
+    forests by bands of distance (see shard_edges) are compared in full. Texts with equal words are one node.
     Groups are what links reach. A null text has no words; texts without words are copies of one
     another. Null keys come after all others. Repeated rows of one document are reduced to one.
     """
     name, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(name.alias("k"), F.xxhash64(body).alias("h"), body.alias("t"))
-    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("content", "bigint")]), "contents")
+    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("fp2", "bigint"), ("content", "bigint")]), "contents")
     first = F.struct(F.col("k").isNull().alias("n"), "k", "h")
-    contents = materialise(marked.groupBy("content", "fp").agg(F.min(first).alias("least")), "nodes")
-    chief = contents.groupBy("fp").agg(F.min("content").alias("chief"))
-    edges = fingerprint_edges(chief.select("fp"), radius)
-    edges = edges.join(chief.select(F.col("fp").alias("a"), F.col("chief").alias("x")), "a").join(chief.select(F.col("fp").alias("b"), F.col("chief").alias("y")), "b").select("x", "y")
-    same = contents.join(chief, "fp").where("content <> chief").select(F.col("content").alias("x"), F.col("chief").alias("y"))
+    contents = materialise(marked.groupBy("content", "fp", "fp2").agg(F.min(first).alias("least")), "nodes")
+    chief = contents.groupBy("fp", "fp2").agg(F.min("content").alias("chief"))
+    edges = fingerprint_edges(chief.select("chief", "fp", "fp2"), list(limits)).withColumnsRenamed({"a": "x", "b": "y"})
+    same = contents.join(chief, ["fp", "fp2"]).where("content <> chief").select(F.col("content").alias("x"), F.col("chief").alias("y"))
     pairs = materialise(edges.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct().join(contents, "content").select("content", "least.k", "least.h")
     texts = materialise(source.join(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).groupBy("content").agg(F.first("t").alias("t")), "texts")

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
 import zipfile
 
 import numpy as np
@@ -109,7 +110,10 @@ def test_shard_edges_connect_as_brute_force():
     f = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
     f[500:] = f[rng.integers(0, 500, 1000)] ^ (np.uint64(1) << rng.integers(0, 63, 1000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 1000, dtype=np.uint64))
     f = np.unique(f)
-    a, b = simhash.shard_edges(f, f, 4)
+    ids = f.view(np.int64)
+    a, b = simhash.shard_edges(f[None], ids, f[None], ids, [4])
+    again = rng.permutation(len(f))
+    assert all(np.array_equal(x, y) for x, y in zip((a, b), simhash.shard_edges(f[None, again], ids[again], f[None], ids, [4]), strict=True))
     forest, whole = simhash.Forest(len(f)), simhash.Forest(len(f))
     forest.join(np.searchsorted(f, a.view(np.uint64)), np.searchsorted(f, b.view(np.uint64)))
     x, y = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4)
@@ -117,6 +121,33 @@ def test_shard_edges_connect_as_brute_force():
     assert np.array_equal(forest.settle(), whole.settle()) and len(a) < len(f)
 
 
+def test_shard_edges_band_by_band():
+    f = np.array([[0b0, 0b1, 0b11111, 0b1111100000], [0, 0, 0b1, 0b1]], np.uint64)
+    got = simhash.shard_edges(f, np.arange(4), f, np.arange(4), [1, 5, 12])
+    bits = lambda i, j: int(simhash.distance(f[:, i], f[:, j]))
+    assert [bits(*p) for p in ((0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3))] == [1, 5, 6, 6, 7, 10]
+    pairs = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, got), strict=True)}
+    # The close pair, the one of the second band, and a forest of the third that joins 0 or 1 with 2 and with 3.
+    assert {(0, 1), (1, 2)} <= pairs and len(pairs) == 4 and {2, 3} <= {x for p in pairs - {(0, 1), (1, 2)} for x in p}
+
+
+def test_keep_one_is_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts: dict[tuple, list] = {}
+    for r in docs.collect():
+        texts.setdefault(tuple(re.findall("[^\x20\x09-\x0D]+", (r.text or "").translate(lower))), []).append(r.doc_id)
+    sets = [{w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    graph = simhash.Forest(len(sets))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (both := len(sets[i] & sets[j])) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+    graph.join(np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+    least: dict[int, int] = {}
+    for root, ids in zip(graph.settle().tolist(), texts.values(), strict=True):
+        least[root] = min(least.get(root, ids[0]), *ids)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == set(least.values())
+
+
 def test_packages(spark, tmp_path):
     rows = [(1, "u", "same"), (2, None, "same"), (2, "u", "same"), (3, "u", None), (None, "u", ""), (None, "u", "lone"), (4, "u", "é" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
