@@ -4,7 +4,8 @@ A shard of fingerprints is a leaf of a vantage-point tree built on a bounded sam
 by distance from its vantage point. A fingerprint lives in one leaf, and queries every
 leaf that the triangle inequality doesn't exclude for the radius, so pairs over a boundary are
 found too. Within a shard the same tree goes on down to small blocks, in which distances
-are computed. What a shard finds is reduced to a spanning forest before it leaves the task.
+are computed. What a shard finds is reduced to a spanning forest before it leaves the task, unless its
+links are still to be tested: then all of them leave it, in bundles with few texts, and only tested ones are reduced.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.textkit import LOWER, Words, annotate, materialise, raw, release, sized, sliced
+from palimpsest.llm.textkit import LOWER, Words, annotate, gather, materialise, raw, release, segment_sums, sized
 
 BLOCK = 512
+#: Shingles of the texts of one bundle of candidates at most (a pair of longer texts is one bundle).
+BUNDLE = 1 << 21
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +222,13 @@ def _numbers(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, batch.num_columns)])
 
 
-def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, query_rows: int) -> DataFrame:
-    """Rows (task, home, id, words): each fingerprint in its leaf, and as a query wherever the radius reaches; a task has a leaf's homes and a part of its queries."""
-    spark, words = fps.sparkSession, fps.columns[1:]
+def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, query_rows: int, carried: int = 0) -> DataFrame:
+    """Rows (task, home, id, words): each fingerprint in its leaf, and as a query wherever the radius reaches; a task has a leaf's homes and a part of its queries.
+
+    The last `carried` columns go along without being part of the fingerprint.
+    """
+    spark, every = fps.sparkSession, fps.columns[1:]
+    words = every[: len(every) - carried]
     n = fps.count()
     sample = fps.orderBy(F.xxhash64(*words)).limit(sample_size).toPandas()
     sample = np.stack([sample[w].to_numpy(np.int64).view(np.uint64) for w in words])
@@ -233,7 +240,8 @@ def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, quer
     def run(batches):
         t = tree.value
         for batch in batches:
-            ids, f = batch.column(0).to_numpy(zero_copy_only=False), _numbers(batch, 1)
+            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), _numbers(batch, 1)
+            f = columns[: len(words)]
             home = t.home(f)
             at, leaf = t.visits(f, radius)
             # Of two leaves that reach each other, the later one's task finds the pairs.
@@ -246,10 +254,27 @@ def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, quer
             is_home = np.concatenate([np.ones(len(home) * parts, bool), np.zeros(len(at), bool)])
             row = np.concatenate([np.repeat(np.arange(len(home)), parts), at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard * parts + part), pa.array(is_home), pa.array(ids[row]), *[pa.array(w[row].view(np.int64)) for w in f]], names=["task", "home", "id", *words]
+                [pa.array(shard * parts + part), pa.array(is_home), pa.array(ids[row]), *[pa.array(w[row].view(np.int64)) for w in columns]], names=["task", "home", "id", *every]
             )
 
-    return fps.mapInArrow(run, "task long, home boolean, id long, " + ", ".join(f"{w} long" for w in words))
+    return fps.mapInArrow(run, "task long, home boolean, id long, " + ", ".join(f"{w} long" for w in every))
+
+
+def _shards(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Homes, their ids, queries and their ids of each shard in a task's rows."""
+    shards: dict[int, list] = {}
+    for batch in batches:
+        task = batch.column(0).to_numpy(zero_copy_only=False)
+        home = batch.column(1).to_numpy(zero_copy_only=False)
+        ids, f = batch.column(2).to_numpy(zero_copy_only=False), _numbers(batch, 3)
+        order = np.argsort(task, kind="stable")
+        cut = np.flatnonzero(np.diff(task[order])) + 1
+        for group in np.split(order, cut):
+            if len(group):
+                h, q = group[home[group]], group[~home[group]]
+                shards.setdefault(int(task[group[0]]), []).append((f[:, h], ids[h], f[:, q], ids[q]))
+    for k in sorted(shards):
+        yield tuple(np.concatenate(x, axis=-1) for x in zip(*shards.pop(k), strict=True))
 
 
 def fingerprint_edges(fps: DataFrame, limits: list[int], sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
@@ -262,19 +287,8 @@ def fingerprint_edges(fps: DataFrame, limits: list[int], sample_size: int = 20_0
     rows = _sharded(fps, limits[-1], sample_size, leaf_size, query_rows)
 
     def run(batches):
-        shards: dict[int, list] = {}
-        for batch in batches:
-            task = batch.column(0).to_numpy(zero_copy_only=False)
-            home = batch.column(1).to_numpy(zero_copy_only=False)
-            ids, f = batch.column(2).to_numpy(zero_copy_only=False), _numbers(batch, 3)
-            order = np.argsort(task, kind="stable")
-            cut = np.flatnonzero(np.diff(task[order])) + 1
-            for group in np.split(order, cut):
-                if len(group):
-                    h, q = group[home[group]], group[~home[group]]
-                    shards.setdefault(int(task[group[0]]), []).append((f[:, h], ids[h], f[:, q], ids[q]))
-        for k in sorted(shards):
-            a, b = shard_edges(*[np.concatenate(x, axis=-1) for x in zip(*shards.pop(k), strict=True)], limits)
+        for shard in _shards(batches):
+            a, b = shard_edges(*shard, limits)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         release()
@@ -282,6 +296,53 @@ def fingerprint_edges(fps: DataFrame, limits: list[int], sample_size: int = 20_0
     return rows.repartition(sized(fps.sparkSession), "task").mapInArrow(run, "a long, b long")
 
 
+def shard_bundles(homes: np.ndarray, home_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, limits: list[int], similarity: float, most: int = BUNDLE) -> Iterator[np.ndarray]:
+    """All pairs within the last limit, in bundles (ids, ids and number of the limit, a row each) whose texts have few shingles.
+
+    The last row of homes and queries is a text's number of shingles; pairs whose numbers alone rule the similarity out are left out.
+    """
+    size_h, size_q = homes[-1].astype(np.int64), queries[-1].astype(np.int64)
+    own = np.isin(query_ids, home_ids)  # such a pair is met from either side
+    for q, h, d in near_pairs(homes[:-1], queries[:-1], limits[-1]):
+        x, y = size_q[q], size_h[h]
+        some = (~own[q] | (query_ids[q] < home_ids[h])) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
+        stack = [np.flatnonzero(some)]
+        while stack:
+            at = stack.pop()
+            if not len(at):
+                continue
+            left, right = np.unique(q[at]), np.unique(h[at])
+            heavy = size_q[left].sum(), size_h[right].sum()
+            if sum(heavy) > most and len(at) > 1:
+                side = q[at] if len(right) == 1 or len(left) > 1 and heavy[0] >= heavy[1] else h[at]
+                each = np.unique(side)
+                low = side < each[len(each) // 2]
+                stack += [at[low], at[~low]]
+            else:
+                yield np.stack([query_ids[q[at]], home_ids[h[at]], np.searchsorted(limits, d[at])])
+
+
+def candidate_bundles(fps: DataFrame, limits: list[int], similarity: float, sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
+    """Rows (bundle, pairs, members) of all pairs of ids of fingerprints within the last limit (see shard_bundles): a number, the bytes of the pairs and the ids in them.
+
+    fps has an id (long, distinct), the words of a fingerprint and a number of shingles (long each).
+    """
+    rows = _sharded(fps, limits[-1], sample_size, leaf_size, query_rows, carried=1)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        for shard in _shards(batches):
+            for pairs in shard_bundles(*shard, limits, similarity):
+                members = pa.array([np.unique(pairs[:2])], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pairs.tobytes()]), members], names=["bundle", "pairs", "members"])
+                number += 1
+        release()
+
+    return rows.repartition(sized(fps.sparkSession), "task").mapInArrow(run, "bundle long, pairs binary, members array<long>")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """Key, fp and component (smallest key reachable over links) of every row.
 
@@ -317,7 +378,7 @@ def distinct_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 
 
 def contents_kernel(shingle: int):
-    """128-bit fingerprint (two longs) of a text's set of shingles, and a hash of its words."""
+    """128-bit fingerprint (two longs) of a text's set of shingles, a hash of its words, and the set's size."""
 
     def kernel(column: pa.Array) -> list:
         data, offsets = raw(column)
@@ -326,28 +387,92 @@ def contents_kernel(shingle: int):
         text, starts, ends = words.joined()
         at = words.bounds.tolist()
         own = [xxhash.xxh64_intdigest(text[starts[a] : ends[b - 1]] if b > a else b"", 7) for a, b in zip(at, at[1:], strict=False)]
-        return [pa.array(x.view(np.int64)) for x in (majority(hashes, bounds), majority(mixed(hashes), bounds), np.array(own, np.uint64))]
+        return [pa.array(x.view(np.int64)) for x in (majority(hashes, bounds), majority(mixed(hashes), bounds), np.array(own, np.uint64), np.diff(bounds))]
 
     return kernel
 
 
-def _similar(similarity: float, shingle: int):
-    """Keeps the pairs (a, b) whose texts' sets of shingles have at least the Jaccard similarity."""
+def sets_kernel(shingle: int):
+    """The bytes of a text's set of shingle hashes."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
+    def kernel(column: pa.Array) -> list:
         data, offsets = raw(column)
-        hashes, bounds = shingle_hashes(Words(LOWER[data], offsets), shingle)
-        return [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        hashes, bounds = distinct_hashes(*shingle_hashes(Words(LOWER[data], offsets), shingle))
+        return [pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())]
+
+    return kernel
+
+
+def verified_links(pairs: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all pairs of at least the Jaccard similarity connect.
+
+    pairs: as of shard_bundles; sets: the distinct hashes of each id. A pair goes without comparison only if links that
+    passed already connect its ends.
+    """
+    order = np.argsort(ids)
+    a, b = order[np.searchsorted(ids[order], pairs[:2])]
+    size = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(codes), bool)
+
+    def similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(x), bool)
+        by = np.argsort(x, kind="stable")
+        for group in np.split(by, np.flatnonzero(np.diff(x[by])) + 1):
+            i = x[group[0]]
+            own = codes[start[i] : start[i] + size[i]]
+            mark[own] = True
+            for low in range(0, len(group), 1024):
+                part = group[low : low + 1024]
+                n = size[y[part]]
+                both = segment_sums(mark[codes[gather(start[y[part]], n)]], np.concatenate([[0], np.cumsum(n)]))
+                ok[part] = both >= similarity * (size[i] + n - both)
+            mark[own] = False
+        return ok
+
+    forest, left, right = Forest(len(ids)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for band in np.unique(pairs[2]):
+        todo = np.flatnonzero(pairs[2] == band)
+        # A forest of the links first, as it may spare most of the others; in the end whatever is still apart.
+        for whole in (False, False, True):
+            root = forest.settle()
+            todo = todo[root[a[todo]] != root[b[todo]]]
+            if not len(todo):
+                break
+            pick = np.arange(len(todo)) if whole else forest.copy().join(a[todo], b[todo])
+            tried = todo[pick]
+            good = tried[similar(a[tried], b[tried])]
+            used = good[forest.join(a[good], b[good])]
+            left.append(ids[a[used]])
+            right.append(ids[b[used]])
+            todo = np.delete(todo, pick)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _verify(similarity: float):
+    """Links of bundles, from rows (bundle, content, data) in the bundles' order: the pairs, without a content, and the sets of each content."""
 
     def run(batches):
+        now, pairs, ids, sets = None, None, [], []
+
+        def links():
+            a, b = verified_links(np.frombuffer(pairs, np.int64).reshape(3, -1), np.array(ids, np.int64), sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            for half in sliced(batch, 2, 1 << 20):
-                for part in sliced(half, 3, 1 << 20):
-                    keep = []
-                    for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        keep.append(both >= similarity * (len(x) + len(y) - both))
-                    yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            for bundle, content, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bundle != now:
+                    if now is not None:
+                        yield links()
+                    now, pairs, ids, sets = bundle, None, [], []
+                if content is None:
+                    pairs = data
+                else:
+                    ids.append(content)
+                    sets.append(np.frombuffer(data, np.uint64))
+        if now is not None:
+            yield links()
         release()
 
     return run
@@ -357,24 +482,23 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """docs with one row of each group of near duplicates, the one with the smallest key; all columns stay.
 
     Two texts are near duplicates if the sets of their runs of `shingle` words have at least the Jaccard similarity; candidates are
-    128-bit fingerprints within the last limit (at 0.8 about 19 bits differ, in very few pairs more than 34), of which
-    forests by bands of distance (see shard_edges) are compared in full. Texts with equal words are one node.
+    128-bit fingerprints within the last limit (at 0.8 about 19 bits differ, in very few pairs more than 34). Each candidate is
+    compared in full, limit by limit, unless links that passed already join its texts. Texts with equal words are one node.
     Groups are what links reach. A null text has no words; texts without words are copies of one
     another. Null keys come after all others. Repeated rows of one document are reduced to one.
     """
     name, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(name.alias("k"), F.xxhash64(body).alias("h"), body.alias("t"))
-    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("fp2", "bigint"), ("content", "bigint")]), "contents")
+    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("fp2", "bigint"), ("content", "bigint"), ("size", "bigint")]), "contents")
     first = F.struct(F.col("k").isNull().alias("n"), "k", "h")
-    contents = materialise(marked.groupBy("content", "fp", "fp2").agg(F.min(first).alias("least")), "nodes")
-    chief = contents.groupBy("fp", "fp2").agg(F.min("content").alias("chief"))
-    edges = fingerprint_edges(chief.select("chief", "fp", "fp2"), list(limits)).withColumnsRenamed({"a": "x", "b": "y"})
-    same = contents.join(chief, ["fp", "fp2"]).where("content <> chief").select(F.col("content").alias("x"), F.col("chief").alias("y"))
-    pairs = materialise(edges.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct().join(contents, "content").select("content", "least.k", "least.h")
-    texts = materialise(source.join(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).groupBy("content").agg(F.first("t").alias("t")), "texts")
-    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("content").alias("b"), F.col("t").alias("tb")), "b")
-    linked = both.select("a", "b", "ta", "tb").mapInArrow(_similar(similarity, shingle), "a bigint, b bigint")
+    contents = materialise(marked.groupBy("content").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min(first).alias("least")), "nodes")
+    bundles = materialise(candidate_bundles(contents.select("content", "fp", "fp2", "size"), list(limits), similarity), "bundles")
+    members = bundles.select("bundle", F.explode("members").alias("content"))
+    wanted = members.select("content").distinct().join(contents, "content").select("content", "least.k", "least.h")
+    texts = source.join(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).groupBy("content").agg(F.first("t").alias("t"))
+    sets = materialise(annotate(texts, ["content"], "t", lambda: sets_kernel(shingle), [("data", "binary")]), "sets")
+    given = bundles.select("bundle", F.lit(None).cast("bigint").alias("content"), F.col("pairs").alias("data")).unionByName(members.join(sets, "content"))
+    linked = given.repartition(sized(docs.sparkSession), "bundle").sortWithinPartitions("bundle", "content").mapInArrow(_verify(similarity), "a bigint, b bigint")
     found = components(linked)
     rooted = contents.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stay = materialise(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.k", "least.h").withColumnsRenamed({"k": "\x01k", "h": "\x01h"}), "stay")

@@ -194,3 +194,28 @@ def test_pipeline(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_keep_one_in_a_family(spark):
+    # Texts that resemble each other at about 0.7, so that most candidates fail; pairs of them at 0.83.
+    rng = np.random.default_rng(11)
+    n, family, planted = 400, 240, 60
+    base, texts = [f"b{i}" for i in range(n)], []
+
+    def changed(words, share, tag):
+        out = words.copy()
+        for i in rng.choice(n // 5, int(share * n / 5), replace=False) * 5:
+            out[i] = f"{tag}w{i}"
+        return out
+
+    for i in range(family):
+        texts.append(changed(base, 0.18, f"f{i}"))
+    for i in range(planted):
+        texts.append(changed(texts[i], 0.09, f"p{i}"))
+    sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in texts]
+    graph = simhash.Forest(len(sets))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+    graph.join(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    assert {(family + i, i) for i in range(planted)} <= set(pairs) and np.median([len(sets[0] & s) / len(sets[0] | s) for s in sets[1:family]]) < 0.75
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == np.unique(graph.settle()).tolist()
