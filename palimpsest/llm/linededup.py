@@ -4,7 +4,8 @@ Only lines with a word count. A shingle is the shortest run of lines from a line
 words, a window the shortest with at least `guarantee` words; in each window the shingle with the smallest hash (the last of equal
 ones) is a fingerprint. Two texts that share a run of lines with `guarantee` words share a window, so they choose
 a common fingerprint there. A fingerprint's first place (by key, then by hash of the text, then by line) is its source. Every later place is
-compared with the source's lines both ways, and what agrees is a repeated run.
+compared with the source's lines both ways, and what agrees is a repeated run. As the first place may share less than another earlier one,
+the windows around a common fingerprint are looked up themselves, too: each that has an earlier place is a repeated run.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def winnow(hashes: list[int], words: list[int], noise: int, guarantee: int) -> list[tuple[int, int, int]]:
-    """(fingerprint, first line, end line) of the shingles selected in a text's lines."""
+def winnow(hashes: list[int], words: list[int], noise: int, guarantee: int) -> list[tuple[int, int, int, int, int]]:
+    """(fingerprint, first line, end line) of the shingles selected in a text's lines, and the first lines of the first and the last window that selects it."""
     n = len(hashes)
     shingles: list[tuple[int, int, int]] = []
     end = total = 0
@@ -42,7 +43,7 @@ def winnow(hashes: list[int], words: list[int], noise: int, guarantee: int) -> l
         code = hashes[i] if end == i + 1 else _H(np.array(hashes[i:end], np.uint64).tobytes(), 1)
         shingles.append((code, i, end))
         total -= words[i]
-    out: dict[int, tuple[int, int, int]] = {}
+    out: dict[int, tuple[int, int, int, int, int]] = {}
     queue: deque = deque()
     nxt = end = total = 0
     for i in range(n):
@@ -59,7 +60,8 @@ def winnow(hashes: list[int], words: list[int], noise: int, guarantee: int) -> l
         while queue and queue[0][1] < i:
             queue.popleft()
         if queue:
-            out[queue[0][1]] = queue[0]
+            at = queue[0][1]
+            out[at] = (*queue[0], out[at][3] if at in out else i, i)
         total -= words[i]
     return [out[k] for k in sorted(out)]
 
@@ -84,28 +86,45 @@ def worded_lines(text: bytes) -> tuple[list[int], list[bytes]]:
     return at, [lines[i] for i in at]
 
 
-PLACES = [("places", "array<struct<fp: bigint, at: int, low: int, lines: binary>>")]
-_PLACE = pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("lines", pa.binary())])
+def windows(words: np.ndarray, since: int, until: int, guarantee: int) -> list[tuple[int, int]]:
+    """The runs (first line, end line) from the lines `since` to `until` on that have `guarantee` words and lose that without their last or without their first line.
+
+    Every line of a run with `guarantee` words is in one of these that lies in the run.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    out = []
+    for i in range(since, until + 1):
+        low = int(np.searchsorted(total, total[i] + guarantee))
+        high = int(np.searchsorted(total, total[i + 1] + guarantee))
+        out += [(i, end) for end in range(low, min(max(low + 1, high), len(total)))]
+    return out
+
+
+PLACES = [("places", "array<struct<fp: bigint, at: int, low: int, since: int, until: int, lines: binary, words: binary>>")]
+_PLACE = pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("since", pa.int32()), ("until", pa.int32()), ("lines", pa.binary()), ("words", pa.binary())])
 
 
 def places_kernel(noise: int, guarantee: int):
     def kernel(column: pa.Array) -> list:
-        sizes, fps, ats, lows, lines = [0], [], [], [], []
+        sizes, fps, ats, lows, sinces, untils, lines, counts = [0], [], [], [], [], [], [], []
         for text in column.cast(pa.binary()).to_pylist():
             _, own = worded_lines(text)
             words = [len(x.split()) for x in own]
             if sum(words) >= guarantee:
                 hashes = [_H(x) for x in own]
-                code = np.array(hashes, np.uint64)
-                for fp, first, end in winnow(hashes, words, noise, guarantee):
+                code, count = np.array(hashes, np.uint64), np.minimum(words, guarantee).astype(np.uint32)
+                for fp, first, end, since, until in winnow(hashes, words, noise, guarantee):
                     low, high = context(hashes, words, first, end, guarantee)
                     fps.append(_signed(fp))
                     ats.append(first)
                     lows.append(low)
+                    sinces.append(since)
+                    untils.append(until)
                     lines.append(code[low:high].tobytes())
+                    counts.append(count[low:high].tobytes())
             sizes.append(len(fps))
         flat = pa.StructArray.from_arrays(
-            [pa.array(fps, pa.int64()), pa.array(ats, pa.int32()), pa.array(lows, pa.int32()), pa.array(lines, pa.binary())], fields=list(_PLACE)
+            [pa.array(fps, pa.int64()), *[pa.array(x, pa.int32()) for x in (ats, lows, sinces, untils)], pa.array(lines, pa.binary()), pa.array(counts, pa.binary())], fields=list(_PLACE)
         )
         return [pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), flat)]
 
@@ -136,11 +155,32 @@ def _extend(batches):
         yield pa.RecordBatch.from_arrays([cols["k"], cols["h"], pa.array(first), pa.array(end)], names=["k", "h", "first", "end"]).filter(keep)
 
 
+def _windows(guarantee: int):
+    """The windows (hash, first line, end line) of each place."""
+
+    def run(batches):
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            low, since, until = (cols[n].to_numpy(zero_copy_only=False) for n in ("low", "since", "until"))
+            row, codes, first, end = [], [], [], []
+            for i, (lines, words) in enumerate(zip(cols["lines"].to_pylist(), cols["words"].to_pylist(), strict=True)):
+                for a, b in windows(np.frombuffer(words, np.uint32).astype(np.int64), since[i] - low[i], until[i] - low[i], guarantee):
+                    row.append(i)
+                    codes.append(_signed(_H(lines[8 * a : 8 * b], 2)))
+                    first.append(low[i] + a)
+                    end.append(low[i] + b)
+            at = pa.array(row, pa.int64())
+            made = [cols["k"].take(at), cols["h"].take(at), pa.array(codes, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, names=["k", "h", "code", "first", "end"])
+
+    return run
+
+
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", noise: int = 25, guarantee: int = 50) -> DataFrame:
     """k (the key), h (hash of the text) and runs of worded lines [first, end) that repeat earlier ones.
 
     Lines are numbered from 0 without those that have no word. Any run of lines with `guarantee` words that a
-    text shares with an earlier place is found, and no run below `noise` words is. Rows with equal key and text count as one.
+    text shares with an earlier place is found in whole, and no run below `noise` words is. Rows with equal key and text count as one.
     A run agrees with its source at most `guarantee` words before and after each fingerprint; neighbouring
     fingerprints are nearer than that.
     """
@@ -154,7 +194,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
     source = hits.where(mine).groupBy("fp").agg(F.first(F.struct(F.col("at").alias("s_at"), F.col("low").alias("s_low"), F.col("lines").alias("s_lines"))).alias("s"))
     source = source.select("fp", "s.*")
     later = hits.where(~mine).drop("s")
-    found = later.join(source, "fp").select("k", "h", "at", "low", "lines", "s_at", "s_low", "s_lines").mapInArrow(_extend, f"k {_type(docs, key)}, h bigint, first int, end int")
+    kind = _type(docs, key)
+    found = later.join(source, "fp").select("k", "h", "at", "low", "lines", "s_at", "s_low", "s_lines").mapInArrow(_extend, f"k {kind}, h bigint, first int, end int")
+    held = materialise(hits.select("k", "h", "low", "since", "until", "lines", "words").mapInArrow(_windows(guarantee), f"k {kind}, h bigint, code bigint, first int, end int"), "windows")
+    order = F.struct(F.col("k").isNull().alias("n"), "k", "h", "first")
+    common = held.groupBy("code").agg(F.count("*").alias("c"), F.min(order).alias("s")).where("c > 1").select("code", "s")
+    found = found.unionByName(held.join(common, "code").where(~order.eqNullSafe(F.col("s"))).select("k", "h", "first", "end"))
     # Of a text's runs from one line on, the longest.
     return found.groupBy("k", "h", "first").agg(F.max("end").alias("end"))
 

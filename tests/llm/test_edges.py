@@ -86,6 +86,33 @@ def test_winnowing_guarantee():
         assert prints[0] & prints[1]
 
 
+def test_line_dedup_beyond_the_first_place(spark):
+    # A notice of 30 words in the middle of many passages; each passage is in several documents.
+    rng = np.random.default_rng(17)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(1 << 40, size=n))
+    notice, docs = [line(15), line(15)], []
+    for _ in range(25):
+        passage = [line(9), line(11), *notice, line(12), line(8)]
+        docs += [[line(7), *passage, line(5)] for _ in range(4)]
+    for _ in range(40):  # and any runs of few lines in common
+        a = docs[int(rng.integers(len(docs)))]
+        low = int(rng.integers(len(a)))
+        docs.append([line(3), *a[low : low + int(rng.integers(1, 8))], line(30)])
+    texts = [docs[i] for i in rng.permutation(len(docs))]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text.split("\n") for r in linededup.drop_repeated_lines(df).collect()}
+    seen: set[tuple] = set()
+    for i, t in enumerate(texts):
+        dead, own = set(), set()
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                if sum(len(x.split()) for x in t[a:b]) >= 50:
+                    own.add(tuple(t[a:b]))
+                    dead |= set(range(a, b)) if tuple(t[a:b]) in seen else set()
+        seen |= own
+        assert not {t[j] for j in dead} & set(got[i])
+
+
 def test_near_duplicates(spark, odd):
     got = {(r.doc_id, r.component) for r in simhash.near_duplicates(odd.drop("fp", "component")).collect()}
     assert (3, 2) in got and (5, 2) in got and (None, 2) in got and (1, 1) in got
