@@ -1,9 +1,10 @@
 """Secret scans: known shapes by pattern, and random strings by the tokens they need.
 
 A random string has few characters to a token under a vocabulary made from ordinary text.
-Candidates are long runs of key characters with letters and digits; known digests (hexadecimal of a digest's length),
-UUIDs and identifiers (words joined by underscores, dots, dashes, slashes or capitals, with
-short numbers) are left out, and of the rest those with a low ratio are spans.
+Candidates are long runs of key characters with a letter; known digests (hexadecimal of a digest's length),
+UUIDs and identifiers (words of the vocabulary joined by underscores, dashes, slashes or capitals, with
+short numbers) are left out, and of the rest those with a low ratio are spans. In a run with a higher one, what
+lies between the vocabulary's words is judged alone, and then what lies between separators.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words in lower, upper or title case of three letters or more, or numbers up to six digits, joined or capitalised.
-IDENTIFIER = re.compile(r"(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])|\d{1,6}(?=[_/=+-]|$)))+[_/=+-]*")
+LEAST = 16
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A part's words in lower, upper or title case, and numbers.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -42,16 +45,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _word(piece: str, alone: bool, encode) -> bool:
+    """Whether a piece is a number of up to six digits or a word that is one token; words of two letters only where they stand alone."""
+    if piece.isdigit():
+        return len(piece) <= 6
+    return len(piece) >= (2 if alone else 3) and any(len(encode(x)) == 1 for x in (piece, " " + piece, " " + piece.lower()))
+
+
+def _recognised(part: str, encode) -> bool:
+    pieces = PIECE.findall(part)
+    return sum(map(len, pieces)) == len(part) and all(_word(x, len(pieces) == 1, encode) for x in pieces)
+
+
+def _low(s: str, encode, most_ratio: float) -> bool:
+    return len(s) >= LEAST and any(c.isalpha() for c in s) and len(s) <= most_ratio * len(encode(s))
+
+
+def _known(s: str) -> bool:
+    return bool(UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s))
+
+
 def token_spans(text: str, encode, most_ratio: float) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        if not any(c.isalpha() for c in s) or _known(s):
             continue
-        if UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
+        low = _low(s, encode, most_ratio)
+        parts = [x.span() for x in PART.finditer(s)]
+        if not low and len(parts) < 2:
             continue
-        if len(s) <= most_ratio * len(encode(s)):
+        words = [_recognised(s[a:b], encode) for a, b in parts]
+        if all(words):
+            continue
+        if low:
             out.append((m.start(), 3, m.end()))
+            continue
+        segments: list[list[tuple[int, int]]] = [[]]
+        for part, word in zip(parts, words, strict=True):
+            if word:
+                segments.append([])
+            else:
+                segments[-1].append(part)
+        for segment in segments:
+            if not segment or _known(s[segment[0][0] : segment[-1][1]]):
+                continue
+            whole = (segment[0][0], segment[-1][1])
+            judged = [whole] if _low(s[whole[0] : whole[1]], encode, most_ratio) else segment
+            out += [(m.start() + a, 3, m.start() + b) for a, b in judged if _low(s[a:b], encode, most_ratio) and not _known(s[a:b])]
     return out
 
 

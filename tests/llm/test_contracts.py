@@ -212,3 +212,21 @@ def test_op10_tokens(spark):
     assert found(f"use {key} now") == [key] and found(f"k={key}") == [key]
     assert found("internationalisation get_user_by_name_2 CamelCaseIdentifierNames2") == []
     assert found("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000") == []
+
+
+def test_op10_token_recall():
+    import random
+    import string
+
+    import public_tokenizers
+
+    from palimpsest.llm import secret_scan
+
+    with open(q.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = secret_scan.load_encoder(f.read(), public_tokenizers.PATTERN)
+    r, base62 = random.Random(5), string.ascii_letters + string.digits
+    for before, letters, n in (("", string.ascii_letters, 24), ("", string.ascii_lowercase, 32), ("", base62, 16), ("authorization-header-value-", base62, 20), ("com/static/images/customers/downloads/", base62, 20)):
+        texts = [f"use {before}{''.join(r.choices(letters, k=n))} now" for _ in range(200)]
+        assert np.mean([any(b == len(t) - 4 for _, _, b in secret_scan.token_spans(t, encode, 2.2)) for t in texts]) >= 0.99
+    clean = "com/static/images/customers/downloads/index authorization-header-value-2 commits d41d8cd98f00b204e9800998ecf8427e7a6b5c4d internationalisation"
+    assert secret_scan.token_spans(clean, encode, 2.2) == []
