@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.textkit import Words, binary_array, gather, materialise, raw, shared_folder, sized, sliced
+from palimpsest.llm.textkit import ASCII_SPACE, binary_array, gather, materialise, raw, shared_folder, sized, sliced
 
 MAGIC = b"PLMPIDS1"
 HEADER = 16
@@ -117,7 +117,9 @@ def publish(uri: str, name: str, write) -> None:
 # Encoding
 
 
-_MET: dict[int, dict[bytes, bytes]] = {}
+#: Runs that a process has met lately, in two generations of at most so many.
+GENERATION = 400_000
+_MET: dict[int, list[dict[bytes, bytes]]] = {}
 
 
 class PieceEncoder:
@@ -125,7 +127,9 @@ class PieceEncoder:
 
     The byte-level splitter never puts what stands before a run of white space and what
     follows into one piece, so a text's runs (white space, then a word) can be encoded apart.
-    Texts with white space outside ASCII are one run. Runs are sent to the library strung
+    Nor does it put a letter or digit and a mark behind it together, nor a mark other than the apostrophe and a letter behind it, so
+    runs are cut there, too; then a word has one spelling whatever marks follow it. Texts with white space outside ASCII are one run,
+    texts that may hold a special token are cut at white space only. Runs are sent to the library strung
     together where no white space would meet, and its ids are shared out by their byte lengths.
     """
 
@@ -142,6 +146,7 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.bytes = np.zeros(self.size, np.int64)
         for s, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(s)
@@ -179,31 +184,52 @@ class PieceEncoder:
 
     def known(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As distinct(); runs that this process has met lately aren't encoded again."""
-        held = _MET.setdefault(self.key, {})
-        pieces = [held.get(r) for r in runs]
-        new = [i for i, p in enumerate(pieces) if p is None]
+        young, held = _MET.setdefault(self.key, [{}, {}])
+        pieces = [young.get(r) for r in runs]
+        missing = [i for i, p in enumerate(pieces) if p is None]
+        new = []
+        for i in missing:
+            piece = held.get(runs[i])
+            if piece is None:
+                new.append(i)
+            else:
+                pieces[i] = young[runs[i]] = piece
         if new:
             flat, sizes = self.distinct([runs[i] for i in new])
             data, ends = flat.tobytes(), (np.cumsum(sizes) * 4).tolist()
-            if len(held) + len(new) > 400_000:
-                held.clear()
             low = 0
             for i, end in zip(new, ends, strict=True):
-                pieces[i] = held[runs[i]] = data[low:end]
+                pieces[i] = young[runs[i]] = data[low:end]
                 low = end
+        if len(young) > GENERATION:
+            _MET[self.key] = [{}, young]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         return np.frombuffer(b"".join(pieces), np.uint32), sizes
 
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where runs begin and end, in order."""
+        cut = np.zeros(len(data) + 1, bool)
+        kind = _KIND[data]
+        before, after = kind[:-1], kind[1:]
+        cut[1:-1] = (before != 0) & (after == 0)
+        marked = (before == 1) & ((after == 2) | (after == 3)) | (before == 2) & (after == 1) & ((data[1:] | 32) >= ord("a"))
+        whole = data.tobytes()
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, side="right")) - 1
+                marked[offsets[i] : max(offsets[i], offsets[i + 1] - 1)] = False
+                at = whole.find(s, int(offsets[i + 1]))
+        cut[1:-1] |= marked
+        for i in np.unique(np.searchsorted(offsets, _other_space(data), side="right") - 1).tolist():
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets] = True
+        return np.flatnonzero(cut)
+
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the texts' bounds among them."""
         data, offsets = raw(column)
-        ends = Words(data, offsets).ends
-        strange = _other_space(data)
-        if len(strange):
-            inside = np.searchsorted(offsets, ends, side="left") - 1
-            ends = ends[~np.isin(inside, np.searchsorted(offsets, strange, side="right") - 1)]
-        cuts = np.unique(np.concatenate([offsets, ends]))
-        cuts = cuts if len(cuts) else np.zeros(1, np.int64)
+        cuts = self.cuts(data, offsets)
         runs = binary_array(data, cuts)
         d = runs.dictionary_encode()
         codes = d.indices.to_numpy(zero_copy_only=False)
@@ -213,6 +239,14 @@ class PieceEncoder:
         return flat[gather(begins[codes], n)], np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cuts, offsets)]
 
 
+#: 0: ASCII white space; 1: ASCII letters and digits; 2: ASCII marks; 3: the apostrophe; 4: all else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[*range(0x21, 0x7F)]] = 2
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[ord("'")] = 3
+_KIND[ASCII_SPACE] = 0
+
+
 def _other_space(data: np.ndarray) -> np.ndarray:
     """Positions of white space outside ASCII, and of ASCII's four separators."""
     at = np.flatnonzero((data >= 0x1C) & (data <= 0x1F) | (data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
@@ -256,7 +290,7 @@ def write_store(docs: DataFrame, root: str, vocabulary: str, key: str = "doc_id"
             out.write(MAGIC + width.to_bytes(4, "little") + bytes(4))
             done = 0
             for batch in batches:
-                for part in sliced(batch, 1, 8 << 20):
+                for part in sliced(batch, 1, 6 << 20):
                     ids, bounds = encoder.batch(part.column(1))
                     n = np.diff(bounds) + 1
                     flat = np.full(int(n.sum()), end_id, f"<u{width}")
