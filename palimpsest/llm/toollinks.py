@@ -1,8 +1,8 @@
 """Tool-call linking with DataFrame functions only: join, order, validation, canonical JSON.
 
 Calls and results meet in a hash join by conversation and identifier. A call may depend on the results of
-other calls; where all dependencies point to earlier turns, turns are a topological order already,
-and only conversations in which some point forward are levelled in rounds. Arguments are checked against a schema for the tool's name, and
+other calls; where all of these stand on earlier turns, turns are a topological order already,
+and only conversations in which some don't are levelled in rounds. Arguments are checked against a schema for the tool's name, and
 each message is a JSON text with sorted keys and no spaces.
 """
 
@@ -55,85 +55,110 @@ def problems(arguments: Column, schema: Column) -> Column:
     )
 
 
-def levels(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """conversation, call_id and level of each call: 0 unless its conversation has a dependency that isn't on an earlier turn, else one more
-    than the highest of its dependencies (ones that aren't calls of the conversation don't count); -1 on or behind a cycle."""
-    deps = calls.select("conversation", "call_id", "turn", F.explode("depends_on").alias("on"))
-    ids = calls.groupBy("conversation", "call_id").agg(F.min("turn").alias("turn"))
-    edges = deps.join(ids.select("conversation", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conversation", "on"])
-    forward = edges.where("on_turn >= turn").select("conversation").distinct()
+def node(call_id: Column, turn: Column) -> Column:
+    """What stands for a call in the order: its identifier; calls of one turn without any are one node."""
+    return F.coalesce(call_id, F.concat(F.lit("\x00"), F.coalesce(turn.cast("string"), F.lit(""))))
+
+
+def levels(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """conversation, node and level of each call: 0 unless its conversation has a dependency whose results aren't all on an earlier turn, else one more
+    than the highest of its dependencies (ones that aren't calls of the conversation don't count); -1 on or behind a cycle.
+
+    As many rounds are run as the longest chain of such a conversation has calls.
+    """
+    own = calls.select("conversation", node(F.col("call_id"), F.col("turn")).alias("node"), "turn", "depends_on")
+    ids = own.groupBy("conversation", "node").agg(F.max("turn").alias("asked"))
+    ready = results.groupBy("conversation", F.col("call_id").alias("node")).agg(F.max("turn").alias("answered"))
+    ready = ids.join(ready, ["conversation", "node"], "left").select("conversation", F.col("node").alias("on"), F.greatest("asked", F.coalesce("answered", "asked")).alias("ready"))
+    edges = own.select("conversation", "node", "turn", F.explode("depends_on").alias("on")).join(ready, ["conversation", "on"])
+    forward = edges.where(~F.coalesce(F.col("ready") < F.col("turn"), F.lit(False))).select("conversation").distinct()
     if forward.isEmpty():
-        return ids.select("conversation", "call_id", F.lit(0).alias("level"))
-    hard = materialise(edges.join(forward, "conversation", "left_semi").select("conversation", "call_id", "on").distinct(), "edges")
-    now = materialise(ids.join(forward, "conversation", "left_semi").select("conversation", "call_id"), "waiting")
+        return ids.select("conversation", "node", F.lit(0).alias("level"))
+    hard = materialise(edges.join(forward, "conversation", "left_semi").select("conversation", "node", "on").distinct(), "edges")
+    now = materialise(ids.join(forward, "conversation", "left_semi").select("conversation", "node"), "waiting")
     # Kahn's rounds: what depends on nothing that waits gets this round's level.
-    done, left = ids.join(forward, "conversation", "left_anti").select("conversation", "call_id", F.lit(0).alias("level")), now.count()
-    for level in range(rounds):
-        if not left:
-            return done
-        waits = hard.join(now.withColumnRenamed("call_id", "on"), ["conversation", "on"], "left_semi").select("conversation", "call_id").distinct()
-        ready = materialise(now.join(waits, ["conversation", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        now = materialise(now.join(ready, ["conversation", "call_id"], "left_anti"), "waiting")
-        now_left = now.count()
-        done = done.unionByName(ready)
-        if now_left == left:
+    done, left, level = ids.join(forward, "conversation", "left_anti").select("conversation", "node", F.lit(0).alias("level")), now.count(), 0
+    while left:
+        waits = hard.join(now.withColumnRenamed("node", "on"), ["conversation", "on"], "left_semi").select("conversation", "node", F.lit(True).alias("waits")).distinct()
+        state = materialise(now.join(waits, ["conversation", "node"], "left"), "levels")
+        done = done.unionByName(state.where("waits is null").select("conversation", "node", F.lit(level).alias("level")))
+        now = state.where("waits").drop("waits")
+        still, level = now.count(), level + 1
+        if still == left:
             break
-        left = now_left
+        left = still
     return done.unionByName(now.withColumn("level", F.lit(-1)))
 
 
+#: A schemas' table of at most so many bytes is broadcast.
+SMALL_TABLE = 8 << 20
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call and each result, linked, ordered and serialised.
 
     calls: conversation, turn, call_id, name, arguments (JSON text), depends_on (array of call ids). results: conversation, turn,
-    call_id, content. schemas: name, schema (JSON Schema text: required, properties' types, additionalProperties); their number is bounded by the tools there are, not by the data.
+    call_id, content. schemas: name, schema (JSON Schema text: required, properties' types, additionalProperties); of several of a name, the least text counts.
 
-    Columns: conversation, place (sorts a conversation topologically: level, then turn, calls before results), turn, kind (call or result),
+    Columns: conversation, place (sorts a conversation topologically: level, then turn, calls before results, and calls on or behind
+    a cycle last), turn, kind (call or result),
     call_id, status (linked; unanswered call; orphan result; repeated: an identifier used by several calls or
-    several results of the conversation, whose links are all kept as one), problems (of calls), json. Null identifiers link
-    to nothing. Other columns aren't read. Repeated rows give repeated results; nothing is paired, as each side only counts the other.
+    several results of the conversation, whose links are all kept as one; such a result takes the least name), problems (of calls), json.
+
+    Null identifiers and null conversations link to nothing; a null turn is placed as turn 0, and what depends on such a call is levelled. Null
+    names and contents are left out of the JSON, null arguments are null there; empty and very long texts are kept whole. Other columns aren't read.
+    Repeated rows give repeated results; nothing is paired, as each side only counts the other. Empty tables give no rows.
     """
     keys = ["conversation", "call_id"]
-    asked = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.first("name").alias("name_of"), F.min("turn").alias("asked_at"))
-    answered = results.groupBy(*keys).agg(F.count("*").alias("n_results"), F.min("turn").alias("answered_at"))
-    tools = schemas.select(F.col("name").alias("tool"), F.from_json("schema", SCHEMA).alias("schema")).dropDuplicates(["tool"])
-    placed = levels(calls)
-    one = calls.join(answered, keys, "left").join(placed, keys, "left").join(F.broadcast(tools) if _few(tools) else tools, F.col("name") == F.col("tool"), "left")
+    calls = calls.select(*keys, "turn", "name", "arguments", "depends_on", node(F.col("call_id"), F.col("turn")).alias("node"))
+    results = results.select(*keys, "turn", "content")
+    asked = calls.groupBy(*keys).agg(F.count("*").alias("n_calls"), F.min("name").alias("name_of"), F.max("turn").alias("asked_at"))
+    answered = results.groupBy(*keys).agg(F.count("*").alias("n_results"))
+    tools = schemas.where("name is not null").groupBy(F.col("name").alias("tool")).agg(F.min("schema").alias("schema"))
+    size = tools.agg(F.sum(F.octet_length("tool") + F.coalesce(F.octet_length("schema"), F.lit(0)) + 16)).first()[0] or 0
+    tools = tools.withColumn("schema", F.from_json("schema", SCHEMA))
+    placed = levels(calls, results)
+    if size <= SMALL_TABLE:
+        tools = F.broadcast(tools)
+    one = calls.join(answered, keys, "left").join(placed, ["conversation", "node"], "left").join(tools, F.col("name") == F.col("tool"), "left")
     call_json = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("name"), F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.lit("null"))).alias("arguments")))
     state = F.when(F.col("n_results").isNull(), "unanswered").when(F.col("n_results") > 1, "repeated").otherwise("linked")
-    level = F.coalesce("level", F.lit(0)).cast("bigint")
+    level = F.when(F.col("level") < 0, 1 << 30).otherwise(F.coalesce("level", F.lit(0))).cast("bigint") * 4294967296
+    turn = F.coalesce("turn", F.lit(0))
     left = one.select(
-        "conversation", (level * 4294967296 + F.col("turn") * 2).alias("place"), "turn", F.lit("call").alias("kind"), "call_id", state.alias("status"),
+        "conversation", (level + turn * 2).alias("place"), "turn", F.lit("call").alias("kind"), "call_id", state.alias("status"),
         problems(F.col("arguments"), F.col("schema")).alias("problems"), canonical(call_json).alias("json"),
     )
-    two = results.join(asked, keys, "left").join(placed, keys, "left")
+    two = results.join(asked, keys, "left").join(placed.withColumnRenamed("node", "call_id"), keys, "left")
     result_json = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("name_of").alias("name"), F.col("content")))
     state = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_calls") > 1, "repeated").otherwise("linked")
     # A result that stands before its call is placed behind it.
-    behind = F.greatest(F.col("turn"), F.coalesce("asked_at", "turn"))
+    behind = F.greatest(turn, F.coalesce("asked_at", turn))
     right = two.select(
-        "conversation", (level * 4294967296 + behind * 2 + 1).alias("place"), "turn", F.lit("result").alias("kind"), "call_id", state.alias("status"),
+        "conversation", (level + behind * 2 + 1).alias("place"), "turn", F.lit("result").alias("kind"), "call_id", state.alias("status"),
         F.array().cast("array<string>").alias("problems"), canonical(result_json).alias("json"),
     )
     return left.unionByName(right)
 
 
-def _few(tools: DataFrame, most: int = 10_000) -> bool:
-    return len(tools.limit(most + 1).take(most + 1)) <= most
-
-
 def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversations (conv_id, turn, role, text) as calls and results: what a user or the system says is a call of the tool reply or
-    instruct, which depends on the call of the turn two before; what the assistant says is the result of the turn before."""
-    name = lambda conv, turn: F.concat(F.lit("c"), conv.cast("string"), F.lit("-"), turn.cast("string"))
-    at = F.col("turn")
+    """Conversations (conv_id, turn, role, text) as calls and results.
+
+    What the assistant says is the result of the user's turn before. Every other message is a call: of the tool instruct if
+    the system says it, else (a null role, too) of the tool reply. A reply depends on the reply two turns before; an instruction holds for the whole
+    conversation and depends on its last reply, so that it comes after all of them. Null texts are empty.
+    """
+    name = lambda kind, conv, turn: F.concat(F.lit(kind), conv.cast("string"), F.lit("-"), turn.cast("string"))
+    conv, at, role = F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit(""))
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), at.alias("turn")))
-    calls = conversations.where("role <> 'assistant'").select(
-        F.col("conv_id").alias("conversation"), "turn", name(F.col("conv_id"), at).alias("call_id"),
-        F.when(F.col("role") == "system", "instruct").otherwise("reply").alias("name"), arguments.alias("arguments"),
-        F.array(name(F.col("conv_id"), at - 2)).alias("depends_on"),
-    )
-    results = conversations.where("role = 'assistant'").select(
-        F.col("conv_id").alias("conversation"), "turn", name(F.col("conv_id"), at - 1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
+    asked = conversations.where(role != "assistant")
+    last = asked.where(role != "system").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    instructions = asked.where(role == "system").join(last, "conv_id", "left")
+    body = lambda kind, tool, on: [
+        conv.alias("conversation"), "turn", name(kind, conv, at).alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), F.array(name("c", conv, on)).alias("depends_on"),
+    ]
+    calls = asked.where(role != "system").select(*body("c", "reply", at - 2)).unionByName(instructions.select(*body("s", "instruct", F.col("last"))))
+    results = conversations.where(role == "assistant").select(
+        conv.alias("conversation"), "turn", name("c", conv, at - 1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
     )
     return calls, results

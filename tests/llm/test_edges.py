@@ -138,9 +138,9 @@ def test_shard_edges_connect_as_brute_force():
     f[500:] = f[rng.integers(0, 500, 1000)] ^ (np.uint64(1) << rng.integers(0, 63, 1000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 1000, dtype=np.uint64))
     f = np.unique(f)
     ids = f.view(np.int64)
-    a, b = simhash.shard_edges(f[None], ids, f[None], ids, [4])
+    a, b = simhash.shard_edges(f[None], ids, f[None], ids, 4)
     again = rng.permutation(len(f))
-    assert all(np.array_equal(x, y) for x, y in zip((a, b), simhash.shard_edges(f[None, again], ids[again], f[None], ids, [4]), strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip((a, b), simhash.shard_edges(f[None, again], ids[again], f[None], ids, 4), strict=True))
     forest, whole = simhash.Forest(len(f)), simhash.Forest(len(f))
     forest.join(np.searchsorted(f, a.view(np.uint64)), np.searchsorted(f, b.view(np.uint64)))
     x, y = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4)
@@ -148,14 +148,44 @@ def test_shard_edges_connect_as_brute_force():
     assert np.array_equal(forest.settle(), whole.settle()) and len(a) < len(f)
 
 
-def test_shard_edges_band_by_band():
-    f = np.array([[0b0, 0b1, 0b11111, 0b1111100000], [0, 0, 0b1, 0b1]], np.uint64)
-    got = simhash.shard_edges(f, np.arange(4), f, np.arange(4), [1, 5, 12])
-    bits = lambda i, j: int(simhash.distance(f[:, i], f[:, j]))
-    assert [bits(*p) for p in ((0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3))] == [1, 5, 6, 6, 7, 10]
-    pairs = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, got), strict=True)}
-    # The close pair, the one of the second band, and a forest of the third that joins 0 or 1 with 2 and with 3.
-    assert {(0, 1), (1, 2)} <= pairs and len(pairs) == 4 and {2, 3} <= {x for p in pairs - {(0, 1), (1, 2)} for x in p}
+def test_block_masks_miss_no_pair():
+    rng = np.random.default_rng(2)
+    for n, tables in ((0, 1), (1000, 1), (100_000, 5), (1 << 26, 5), (1 << 30, 15), (1 << 40, 35)):
+        masks = simhash.block_masks(n, 4)
+        assert len(masks) == tables
+        for _ in range(500):
+            change = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+            assert any(not change & m for m in masks)
+
+
+def test_edges_in_chunks(spark):
+    """Shards larger than a chunk are cut, and the same pairs are connected."""
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFF00000)  # the lowest blocks are equal
+    f[1000:] = f[rng.integers(0, 1000, 2000)] ^ (np.uint64(1) << rng.integers(20, 63, 2000, dtype=np.uint64))
+    f = np.unique(f)
+    df = spark.createDataFrame([(x, x) for x in f.view(np.int64).tolist()], "id bigint, fp bigint")
+    x, y = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4)
+    whole = simhash.Forest(len(f))
+    whole.join(x, y)
+    for chunk in (100, 1 << 15):
+        got = np.array([tuple(r) for r in simhash.fingerprint_edges(df, 4, chunk).collect()], np.int64).view(np.uint64)
+        forest = simhash.Forest(len(f))
+        forest.join(np.searchsorted(f, got[:, 0]), np.searchsorted(f, got[:, 1]))
+        assert np.array_equal(forest.settle(), whole.settle())
+
+
+def test_least_hashes_recall():
+    """Sets of similarity 0.8 agree in a band nearly always, sets of 0.4 seldom."""
+    rng = np.random.default_rng(4)
+
+    def agree(shared, own, n=2000):
+        sets = [rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64) * np.uint64(2) for _ in range(n)]
+        left, right = ([s[k] for s in sets] for k in (slice(0, shared + own), np.r_[0:shared, shared + own : shared + 2 * own]))
+        a, b = (simhash.least_hashes(np.concatenate(x), np.arange(n + 1) * (shared + own)).view(np.uint32) for x in (left, right))
+        return (a == b).any(axis=1).mean()
+
+    assert agree(80, 10) >= 0.998 and agree(40, 30) < 0.7
 
 
 def test_keep_one_is_brute_force(spark):
@@ -206,13 +236,41 @@ def test_tool_links(spark):
     assert at["call", "a"].place > at["result", "b"].place > at["call", "b"].place  # a uses b's result
     assert at["call", "a"].json == '{"arguments":{"x":1,"y":2},"id":"a","name":"add"}' and at["call", "a"].problems == ["unknown y"]
     assert at["call", "b"].problems == ["type x", "unknown z"] and at["call", "b"].status == "linked"
-    assert at["call", "c"].problems == ["unknown tool"] and at["call", "d"].problems == ["not an object"] and at["call", "c"].place < 0
+    assert at["call", "c"].problems == ["unknown tool"] and at["call", "d"].problems == ["not an object"] and at["call", "c"].place > at["call", "a"].place + (1 << 40)
     assert at["result", "zz"].status == "orphan"
     two = sorted((r.kind, str(r.call_id), r.status) for r in got if r.conversation == 2)
     assert two == [("call", "None", "unanswered"), ("call", "r", "linked"), ("call", "r", "linked"), ("result", "None", "orphan"), ("result", "r", "repeated")]
     assert toollinks.link(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_tool_order(spark):
+    """A call comes after the results it depends on, wherever these stand; chains of any length, nulls, repeats, long texts, clashing columns."""
+    n, shape = 12, "conversation bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>, level int, node string, tool string, schema string"
+    rows = [(1, 0, "a", "t", "{}", []), (1, 2, "b", "t", "{}", ["a"])]  # a's result stands at turn 5
+    rows += [(2, i, f"c{i}", "t", "{}", [f"c{i + 1}"]) for i in range(n)]  # each needs the next one
+    rows += [(3, None, "x", "t", "{}", None), (3, 1, None, "t", "{}", ["x"]), (3, 1, "y", None, None, [None]), (4, 0, "z", "t", '{"s":"' + "w" * 300_000 + '"}', []), (None, 0, "a", "t", "", [])]
+    calls = spark.createDataFrame([(*r, 9, "n", "t", "s") for r in rows + rows[-1:]], shape)
+    results = spark.createDataFrame([(1, 5, "a", "ok"), *[(2, i, f"c{i}", "r") for i in range(n)], (3, 2, "x", None), (4, 1, "z", "v" * 300_000), (None, 3, "a", "")], "conversation bigint, turn bigint, call_id string, content string")
+    schemas = spark.createDataFrame([("t", "{}"), ("t", '{"required":["q"]}'), (None, "{}")], "name string, schema string")
+    got = toollinks.link(calls, results, schemas).collect()
+    at = {(r.conversation, r.kind, r.call_id): r for r in got}
+    assert len(got) == len(rows) + 1 + n + 4
+    assert at[1, "call", "a"].place < at[1, "result", "a"].place < at[1, "call", "b"].place
+    order = [at[2, kind, f"c{i}"].place for i in reversed(range(n)) for kind in ("call", "result")]
+    assert order == sorted(order) and len(set(order)) == 2 * n
+    assert at[3, "result", "x"].place < at[3, "call", None].place and at[3, "call", "y"].json == '{"arguments":null,"id":"y"}'
+    assert at[4, "call", "z"].problems == ["missing q"] and len(at[4, "result", "z"].json) > 300_000  # the least of a tool's schemas
+    assert at[None, "call", "a"].status == "unanswered" and at[None, "result", "a"].status == "orphan"
+
+
+def test_chat_calls_keep_every_row(spark):
+    said = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "a"), (1, 3, None, "q"), (None, 0, "user", "u"), (2, None, "user", ""), (2, None, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    calls, results = toollinks.chat_calls(said)
+    got = toollinks.link(calls, results, spark.createDataFrame(queries.CHAT_SCHEMAS, "name string, schema string")).collect()
+    assert len(got) == 7 and sorted(r.call_id for r in got if r.conversation == 1) == ["c1-1", "c1-1", "c1-3", "s1-0"]
+    assert max((r for r in got if r.conversation == 1), key=lambda r: r.place).call_id == "s1-0"
+
+
 def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small)
     n, first = out.count(), {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
