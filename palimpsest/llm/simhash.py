@@ -1,16 +1,18 @@
 """SimHash fingerprints, and exact pairs within a Hamming distance by vantage-point trees.
 
-A shard of fingerprints is a leaf of a vantage-point tree built on a bounded sample: each node splits
-by distance from its vantage point. A fingerprint lives in one leaf, and queries every
-leaf that the triangle inequality doesn't exclude for the radius, so pairs over a boundary are
-found too. Within a shard the same tree goes on down to small blocks, in which distances
-are computed. What a shard finds is reduced to a spanning forest before it leaves the task, unless its
+A shard holds the fingerprints that share a key, and each has several keys, so that no pair within the radius is apart in all of
+them: blocks of bits where the radius is small (of radius + 1 blocks one is equal), bands of least hashes where
+it is wide. In a shard a vantage-point tree parts the fingerprints by their distance from a
+vantage point, and a query goes down both sides where the triangle inequality excludes neither, down to small blocks, in which distances
+are computed. A shard with very many members is dealt out in chunks, each two of which meet in a task of their own.
+What a task finds is reduced to a spanning forest before it leaves it, unless its
 links are still to be tested: then all of them leave it, in bundles with few texts, and only tested ones are reduced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,14 @@ from palimpsest.llm.components import components
 from palimpsest.llm.textkit import LOWER, Words, annotate, gather, materialise, raw, release, segment_sums, sized
 
 BLOCK = 512
+#: Members of a shard that a task compares with as many others at most.
+CHUNK = 1 << 15
+#: Members that a shard of blocks of bits has if fingerprints are spread evenly, about.
+SHARD = 1 << 10
+#: Bands of least hashes and hashes in each; two sets of similarity 0.8 agree in no band once in 23,000 times.
+BANDS, ROWS = 14, 3
+#: Shards in chunks that are broadcast by name at most.
+FEW = 1 << 20
 #: Shingles of the texts of one bundle of candidates at most (a pair of longer texts is one bundle).
 BUNDLE = 1 << 21
 
@@ -79,47 +89,6 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-class VantageTree:
-    """Vantage points and split distances of a complete binary tree over fingerprints (words by rows), in heap order."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.depth = depth
-        self.point = np.zeros((len(sample), 1 << depth), np.uint64)
-        self.split = np.zeros(1 << depth, np.int64)
-        parts = {1: sample}
-        for node in range(1, 1 << depth):
-            part = parts.pop(node)
-            n = part.shape[1]
-            if n:
-                tries = part[:, rng.integers(0, n, min(8, n))]
-                each = distance(tries[:, :, None], part[:, None, :2048]).astype(np.int64)
-                best = int(np.argmax(each.var(axis=1)))  # a point that tells distances apart
-                self.point[:, node] = tries[:, best]
-                d = distance(part, tries[:, best, None])
-                self.split[node] = int(np.median(d))
-                inner = d <= self.split[node]
-            else:
-                inner = np.zeros(0, bool)
-            parts[2 * node], parts[2 * node + 1] = part[:, inner], part[:, ~inner]
-
-    def home(self, fps: np.ndarray) -> np.ndarray:
-        node = np.ones(fps.shape[1], np.int64)
-        for _ in range(self.depth):
-            d = distance(fps, self.point[:, node])
-            node = 2 * node + (d > self.split[node])
-        return node - (1 << self.depth)
-
-    def visits(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of fingerprints and the leaves that may hold something within the radius of them."""
-        at, node = np.arange(fps.shape[1]), np.ones(fps.shape[1], np.int64)
-        for _ in range(self.depth):
-            d = distance(fps[:, at], self.point[:, node]).astype(np.int64)
-            inner, outer = d - radius <= self.split[node], d + radius > self.split[node]
-            at, node = np.concatenate([at[inner], at[outer]]), np.concatenate([2 * node[inner], 2 * node[outer] + 1])
-        return at, node - (1 << self.depth)
-
-
 class Forest:
     """Union by smallest number."""
 
@@ -185,162 +154,215 @@ def near_pairs(homes: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[
                     yield q[lo + a[order]], h[low + b[order]], d[order]
 
 
-def shard_edges(homes: np.ndarray, home_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of linked queries and homes, the same in whatever order these come.
-
-    A spanning forest of the links within the first limit; then, for each further limit, one of the
-    links between it and the limit before, among what the first forest leaves apart. So of links that are still to be
-    tested, a close one never stands in for a wider one of another band.
-    """
+def shard_edges(homes: np.ndarray, home_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of linked queries and homes: a spanning forest of the links within the radius, the same in whatever order these come."""
     by_home, by_query = np.argsort(home_ids, kind="stable"), np.argsort(query_ids, kind="stable")
     homes, home_ids, queries, query_ids = homes[:, by_home], home_ids[by_home], queries[:, by_query], query_ids[by_query]
     nodes = np.unique(np.concatenate([home_ids, query_ids]))
     of_home, of_query = np.searchsorted(nodes, home_ids), np.searchsorted(nodes, query_ids)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def take(forest: Forest, q: np.ndarray, h: np.ndarray) -> None:
-        a, b = of_query[q], of_home[h]
-        used = forest.join(a, b)
-        left.append(a[used])
-        right.append(b[used])
-
-    close = Forest(len(nodes))
-    for q, h, _ in near_pairs(homes, queries, limits[0]):
-        take(close, q, h)
-    if limits[1:]:
-        bands = [close.copy() for _ in limits[1:]]
-        for q, h, d in near_pairs(homes, queries, limits[-1]):
-            band = np.searchsorted(limits, d)
-            for k, forest in enumerate(bands, 1):
-                some = band == k
-                take(forest, q[some], h[some])
+    left, right, forest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], Forest(len(nodes))
+    for q, h, _ in near_pairs(homes, queries, radius):
+        used = forest.join(of_query[q], of_home[h])
+        left.append(of_query[q[used]])
+        right.append(of_home[h[used]])
     return nodes[np.concatenate(left)], nodes[np.concatenate(right)]
 
 
+def block_masks(n: int, radius: int) -> list[int]:
+    """Masks of bits, one of which two 64-bit fingerprints within the radius agree in; a mask's values part n evenly spread ones in shards of about SHARD."""
+    for chosen in (1, 2, 3):
+        blocks = radius + chosen
+        most = 64 // blocks
+        if n >> chosen * most <= CHUNK:
+            break
+    width = min(most, -(-max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))) // chosen))
+    if not width:
+        return [0]
+    at = [i * 64 // blocks for i in range(blocks)]
+    return [sum(((1 << width) - 1) << at[i] for i in some) for some in combinations(range(blocks), chosen)]
+
+
+def dealt(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """rows (key, id, others) as (task, far, id, others), the rows of a task together and in order.
+
+    A key with at most `chunk` rows is a task. One with more is cut into chunks by hashes of the ids; each chunk is a task by itself, and each
+    two chunks are one, in which the rows of the second are far.
+    """
+    others = [c for c in rows.columns if c not in ("key", "id")]
+    big = materialise(rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("bigint").alias("cuts")), "big")
+    n = big.count()
+    if n:
+        own = rows.join(F.broadcast(big) if n <= FEW else big, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("bigint")))
+        own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+        task = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+        out = own.select(task.alias("task"), (F.col("part") > F.col("other")).alias("far"), "id", *others)
+    else:
+        out = rows.select(F.col("key").alias("task"), F.lit(False).alias("far"), "id", *others)
+    return out.repartition(sized(rows.sparkSession), "task").sortWithinPartitions("task", "far", "id")
+
+
 def _numbers(batch: pa.RecordBatch, first: int) -> np.ndarray:
     """The columns from `first` on as unsigned words by rows."""
     return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, batch.num_columns)])
 
 
-def _sharded(fps: DataFrame, radius: int, sample_size: int, leaf_size: int, query_rows: int, carried: int = 0) -> DataFrame:
-    """Rows (task, home, id, words): each fingerprint in its leaf, and as a query wherever the radius reaches; a task has a leaf's homes and a part of its queries.
+def _tasks(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tasks, far flags, ids and words of runs of whole tasks."""
+    held = None
+    for batch in batches:
+        now = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), _numbers(batch, 3)
+        held = now if held is None else tuple(np.concatenate(x, axis=-1) for x in zip(held, now, strict=True))
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield tuple(x[..., :last] for x in held)
+                held = tuple(x[..., last:] for x in held)
+    if held is not None and len(held[0]):
+        yield held
 
-    The last `carried` columns go along without being part of the fingerprint.
-    """
-    spark, every = fps.sparkSession, fps.columns[1:]
-    words = every[: len(every) - carried]
-    n = fps.count()
-    sample = fps.orderBy(F.xxhash64(*words)).limit(sample_size).toPandas()
-    sample = np.stack([sample[w].to_numpy(np.int64).view(np.uint64) for w in words])
-    wanted = max(n / leaf_size, min(n / BLOCK, 8))
-    depth = max(0, min(14, int(np.ceil(np.log2(max(1.0, wanted))))))
-    tree = spark.sparkContext.broadcast(VantageTree(sample, depth))
-    parts = int(min(4096, max(1, n // query_rows)))
 
-    def run(batches):
-        t = tree.value
-        for batch in batches:
-            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), _numbers(batch, 1)
-            f = columns[: len(words)]
-            home = t.home(f)
-            at, leaf = t.visits(f, radius)
-            # Of two leaves that reach each other, the later one's task finds the pairs.
-            later = leaf >= home[at]
-            at, leaf = at[later], leaf[later]
-            # A home is wanted by each part of its leaf's queries.
-            cut = ((f[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
-            shard = np.concatenate([np.repeat(home, parts), leaf])
-            part = np.concatenate([np.tile(np.arange(parts), len(home)), cut[at]])
-            is_home = np.concatenate([np.ones(len(home) * parts, bool), np.zeros(len(at), bool)])
-            row = np.concatenate([np.repeat(np.arange(len(home)), parts), at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard * parts + part), pa.array(is_home), pa.array(ids[row]), *[pa.array(w[row].view(np.int64)) for w in columns]], names=["task", "home", "id", *every]
-            )
-
-    return fps.mapInArrow(run, "task long, home boolean, id long, " + ", ".join(f"{w} long" for w in every))
-
-
-def _shards(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Homes, their ids, queries and their ids of each shard in a task's rows."""
-    shards: dict[int, list] = {}
-    for batch in batches:
-        task = batch.column(0).to_numpy(zero_copy_only=False)
-        home = batch.column(1).to_numpy(zero_copy_only=False)
-        ids, f = batch.column(2).to_numpy(zero_copy_only=False), _numbers(batch, 3)
-        order = np.argsort(task, kind="stable")
-        cut = np.flatnonzero(np.diff(task[order])) + 1
-        for group in np.split(order, cut):
-            if len(group):
-                h, q = group[home[group]], group[~home[group]]
-                shards.setdefault(int(task[group[0]]), []).append((f[:, h], ids[h], f[:, q], ids[q]))
-    for k in sorted(shards):
-        yield tuple(np.concatenate(x, axis=-1) for x in zip(*shards.pop(k), strict=True))
-
-
-def fingerprint_edges(fps: DataFrame, limits: list[int], sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) between ids of fingerprints within the last limit of each other (see shard_edges).
-
-    fps has an id (long) and the words of a fingerprint (long each), distinct both. With one limit, the edges
-    connect what any number of links connects.
-    sample_size bounds the fingerprints that the driver sees; every fingerprint is then placed and queried.
+SMALL = 8
+
+
+def small_pairs(task: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and distances of the pairs within the radius in tasks of few rows, which stand together."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, SMALL):
+        at = np.flatnonzero(task[k:] == task[:-k])
+        left.append(at)
+        right.append(at + k)
+    a, b = np.concatenate(left), np.concatenate(right)
+    d = distance(words[:, a], words[:, b])
+    near = d <= radius
+    return a[near], b[near], d[near]
+
+
+def _split(task: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Positions of the rows in small tasks that have company, and homes' and queries' positions of each other task."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+    size = np.diff(cut)
+    some_far = np.add.reduceat(far.astype(np.int64), cut[:-1]) > 0
+    few = (size > 1) & (size <= SMALL) & ~some_far
+    large = []
+    for i in np.flatnonzero((size > 1) & ~few).tolist():
+        at = np.arange(cut[i], cut[i + 1])
+        large.append((at[~far[at]], at[far[at]]) if some_far[i] else (at, at))
+    return gather(cut[:-1][few], size[few]), large
+
+
+def fingerprint_edges(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between ids of fingerprints that connect what all pairs within the radius connect.
+
+    fps has an id and a 64-bit fingerprint fp (long each), distinct both.
     """
-    rows = _sharded(fps, limits[-1], sample_size, leaf_size, query_rows)
+    masks = block_masks(fps.count(), radius)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)])
+    rows = dealt(fps.select(F.explode(keys).alias("key"), "id", "fp"), chunk)
 
     def run(batches):
-        for shard in _shards(batches):
-            a, b = shard_edges(*shard, limits)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for task, far, ids, words in _tasks(batches):
+            few, large = _split(task, far)
+            a, b, _ = small_pairs(task[few], words[:, few], radius)
+            found = [(ids[few[a]], ids[few[b]])]
+            found += [shard_edges(words[:, h], ids[h], words[:, q], ids[q], radius) for h, q in large]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
         release()
 
-    return rows.repartition(sized(fps.sparkSession), "task").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def least_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BANDS 32-bit numbers of each text, packed in pairs; each is made of the least of a text's hashes under ROWS orders. 0 for a text without any."""
+    n, some = len(bounds) - 1, np.flatnonzero(np.diff(bounds))
+    marks = np.zeros((n, BANDS), np.uint32)
+    if len(some):
+        at = bounds[:-1][some]
+        for band in range(BANDS):
+            made = np.zeros(len(some), np.uint64)
+            for row in range(ROWS):
+                odd = mixed(np.array([band * ROWS + row + 1], np.uint64)) | np.uint64(1)
+                made = mixed(made + np.minimum.reduceat(hashes * odd, at))
+            marks[some, band] = (made >> np.uint64(32)).astype(np.uint32)
+    return marks.view(np.uint64)
 
 
 def shard_bundles(homes: np.ndarray, home_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, limits: list[int], similarity: float, most: int = BUNDLE) -> Iterator[np.ndarray]:
     """All pairs within the last limit, in bundles (ids, ids and number of the limit, a row each) whose texts have few shingles.
 
-    The last row of homes and queries is a text's number of shingles; pairs whose numbers alone rule the similarity out are left out.
+    Rows of homes and queries: two words of a fingerprint, the text's number of shingles, the shard's band, the packed marks of all bands. Pairs whose
+    numbers alone rule the similarity out are left out, and those that agree in an earlier band, as they meet there.
     """
-    size_h, size_q = homes[-1].astype(np.int64), queries[-1].astype(np.int64)
     own = np.isin(query_ids, home_ids)  # such a pair is met from either side
-    for q, h, d in near_pairs(homes[:-1], queries[:-1], limits[-1]):
-        x, y = size_q[q], size_h[h]
-        some = (~own[q] | (query_ids[q] < home_ids[h])) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
-        stack = [np.flatnonzero(some)]
-        while stack:
-            at = stack.pop()
-            if not len(at):
-                continue
-            left, right = np.unique(q[at]), np.unique(h[at])
-            heavy = size_q[left].sum(), size_h[right].sum()
-            if sum(heavy) > most and len(at) > 1:
-                side = q[at] if len(right) == 1 or len(left) > 1 and heavy[0] >= heavy[1] else h[at]
-                each = np.unique(side)
-                low = side < each[len(each) // 2]
-                stack += [at[low], at[~low]]
-            else:
-                yield np.stack([query_ids[q[at]], home_ids[h[at]], np.searchsorted(limits, d[at])])
+    for q, h, d in near_pairs(homes[:2], queries[:2], limits[-1]):
+        some = np.flatnonzero(~own[q] | (query_ids[q] < home_ids[h]))
+        some = some[_first_meeting(queries, q[some], homes, h[some], similarity)]
+        yield from bundles_of(queries, query_ids, q[some], homes, home_ids, h[some], np.searchsorted(limits, d[some]), most)
+
+
+def _first_meeting(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Positions of the pairs x[a], y[b] whose sizes allow the similarity and which agree in no band before this one."""
+    s, t = x[2, a].astype(np.int64), y[2, b].astype(np.int64)
+    at = np.flatnonzero(np.minimum(s, t) >= similarity * np.maximum(s, t))
+    keep = np.ones(len(at), bool)
+    band = x[3, a[at]].astype(np.int64)
+    for k in range(int(band.max(initial=0))):
+        mine, theirs = (w[4 + k // 2, i[at]] >> np.uint64(32 * (k % 2)) & np.uint64(0xFFFFFFFF) for w, i in ((x, a), (y, b)))
+        keep &= (band <= k) | (mine != theirs)
+    return at[keep]
+
+
+def bundles_of(queries, query_ids, q, homes, home_ids, h, limit, most: int) -> Iterator[np.ndarray]:
+    """The pairs in bundles whose texts have at most so many shingles, if a bundle has more than one pair."""
+    size_h, size_q = homes[2].astype(np.int64), queries[2].astype(np.int64)
+    stack = [np.arange(len(q))]
+    while stack:
+        at = stack.pop()
+        if not len(at):
+            continue
+        left, right = np.unique(q[at]), np.unique(h[at])
+        heavy = size_q[left].sum(), size_h[right].sum()
+        if sum(heavy) > most and len(at) > 1:
+            side = q[at] if len(right) == 1 or len(left) > 1 and heavy[0] >= heavy[1] else h[at]
+            each = np.unique(side)
+            low = side < each[len(each) // 2]
+            stack += [at[low], at[~low]]
+        else:
+            yield np.stack([query_ids[q[at]], home_ids[h[at]], limit[at]])
 
 
-def candidate_bundles(fps: DataFrame, limits: list[int], similarity: float, sample_size: int = 20_000, leaf_size: int = 16_384, query_rows: int = 1 << 20) -> DataFrame:
-    """Rows (bundle, pairs, members) of all pairs of ids of fingerprints within the last limit (see shard_bundles): a number, the bytes of the pairs and the ids in them.
+def candidate_bundles(contents: DataFrame, limits: list[int], similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Rows (bundle, pairs, members) of pairs of ids whose fingerprints lie within the last limit and which agree in a band: a number, the bytes of the pairs and the ids in them.
 
-    fps has an id (long, distinct), the words of a fingerprint and a number of shingles (long each).
+    contents has an id (long, distinct), the words fp and fp2 of a fingerprint, a number of shingles (size) and the packed marks (see least_hashes).
     """
-    rows = _sharded(fps, limits[-1], sample_size, leaf_size, query_rows, carried=1)
+    band = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BANDS - 1).cast("bigint"))).alias("band")
+    marks = [F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(BANDS // 2)]
+    key = F.expr("shiftrightunsigned(marks[int(band div 2)], int(32 * (band % 2))) & 4294967295L | shiftleft(band, 32)")
+    rows = contents.where("size > 0").select("id", "fp", "fp2", "size", "marks", band).select(key.alias("key"), "id", "fp", "fp2", "size", "band", *marks)
+    rows = dealt(rows, chunk)
 
     def run(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
-        for shard in _shards(batches):
-            for pairs in shard_bundles(*shard, limits, similarity):
-                members = pa.array([np.unique(pairs[:2])], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pairs.tobytes()]), members], names=["bundle", "pairs", "members"])
-                number += 1
+
+        def found():
+            for task, far, ids, words in _tasks(batches):
+                few, large = _split(task, far)
+                own = words[:, few]
+                a, b, d = small_pairs(task[few], own[:2], limits[-1])
+                some = _first_meeting(own, a, own, b, similarity)
+                yield from bundles_of(own, ids[few], a[some], own, ids[few], b[some], np.searchsorted(limits, d[some]), BUNDLE)
+                for h, q in large:
+                    yield from shard_bundles(words[:, h], ids[h], words[:, q], ids[q], limits, similarity)
+
+        for pairs in found():
+            members = pa.array([np.unique(pairs[:2])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pairs.astype(np.int64).tobytes()]), members], names=["bundle", "pairs", "members"])
+            number += 1
         release()
 
-    return rows.repartition(sized(fps.sparkSession), "task").mapInArrow(run, "bundle long, pairs binary, members array<long>")
+    return rows.mapInArrow(run, "bundle long, pairs binary, members array<long>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -353,7 +375,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     marked = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    found = components(fingerprint_edges(nodes.select(F.col("fp").alias("id"), "fp"), [radius]))
+    found = components(fingerprint_edges(nodes.select(F.col("fp").alias("id"), "fp"), radius))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = rooted.join(least, "root").select("fp", "component")
@@ -361,7 +383,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """Other 64 bits made of each hash's."""
+    """Other 64 bits made of each number's."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -378,7 +400,7 @@ def distinct_hashes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 
 
 def contents_kernel(shingle: int):
-    """128-bit fingerprint (two longs) of a text's set of shingles, a hash of its words, and the set's size."""
+    """128-bit fingerprint (two longs) of a text's set of shingles, a hash of its words, the set's size, and its marks (see least_hashes)."""
 
     def kernel(column: pa.Array) -> list:
         data, offsets = raw(column)
@@ -387,7 +409,9 @@ def contents_kernel(shingle: int):
         text, starts, ends = words.joined()
         at = words.bounds.tolist()
         own = [xxhash.xxh64_intdigest(text[starts[a] : ends[b - 1]] if b > a else b"", 7) for a, b in zip(at, at[1:], strict=False)]
-        return [pa.array(x.view(np.int64)) for x in (majority(hashes, bounds), majority(mixed(hashes), bounds), np.array(own, np.uint64), np.diff(bounds))]
+        marks = least_hashes(hashes, bounds).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.ravel()))
+        return [*[pa.array(x.view(np.int64)) for x in (majority(hashes, bounds), majority(mixed(hashes), bounds), np.array(own, np.uint64), np.diff(bounds))], lists]
 
     return kernel
 
@@ -481,18 +505,21 @@ def _verify(similarity: float):
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, limits: tuple[int, ...] = (10, 15, 20, 25, 30, 34), similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest key; all columns stay.
 
-    Two texts are near duplicates if the sets of their runs of `shingle` words have at least the Jaccard similarity; candidates are
-    128-bit fingerprints within the last limit (at 0.8 about 19 bits differ, in very few pairs more than 34). Each candidate is
+    Two texts are near duplicates if the sets of their runs of `shingle` words have at least the Jaccard similarity; candidates agree in
+    a band of least hashes and have 128-bit fingerprints within the last limit (at 0.8 about 19 bits differ, in very few pairs more than 34). similarity
+    must be 0.8 at least, as the bands are made for that. Each candidate is
     compared in full, limit by limit, unless links that passed already join its texts. Texts with equal words are one node.
     Groups are what links reach. A null text has no words; texts without words are copies of one
     another. Null keys come after all others. Repeated rows of one document are reduced to one.
     """
+    if similarity < 0.8:
+        raise ValueError("a similarity of 0.8 or more is needed")
     name, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(name.alias("k"), F.xxhash64(body).alias("h"), body.alias("t"))
-    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("fp2", "bigint"), ("content", "bigint"), ("size", "bigint")]), "contents")
+    marked = materialise(annotate(source, ["k", "h"], "t", lambda: contents_kernel(shingle), [("fp", "bigint"), ("fp2", "bigint"), ("content", "bigint"), ("size", "bigint"), ("marks", "array<bigint>")]), "contents")
     first = F.struct(F.col("k").isNull().alias("n"), "k", "h")
-    contents = materialise(marked.groupBy("content").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min(first).alias("least")), "nodes")
-    bundles = materialise(candidate_bundles(contents.select("content", "fp", "fp2", "size"), list(limits), similarity), "bundles")
+    contents = materialise(marked.groupBy("content").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.min(first).alias("least")), "nodes")
+    bundles = materialise(candidate_bundles(contents.select(F.col("content").alias("id"), "fp", "fp2", "size", "marks"), list(limits), similarity), "bundles")
     members = bundles.select("bundle", F.explode("members").alias("content"))
     wanted = members.select("content").distinct().join(contents, "content").select("content", "least.k", "least.h")
     texts = source.join(wanted.withColumnsRenamed({"k": "wk", "h": "wh"}), F.col("k").eqNullSafe(F.col("wk")) & (F.col("h") == F.col("wh"))).groupBy("content").agg(F.first("t").alias("t"))
