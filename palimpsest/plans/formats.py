@@ -21,3 +21,14 @@ def verdict(source, target):
 def matrix(spark: SparkSession) -> DataFrame:
     pairs = spark.createDataFrame([(a, b) for a in CODES for b in CODES if a != b], "source string, target string")
     return pairs.withColumn("verdict", verdict(F.col("source"), F.col("target")))
+
+
+def verdict_of(source: str, target: str) -> str:
+    """verdict() of two codes."""
+    if target in ("ipf", "dms"):
+        return "refused"
+    if target in ("scp", "gzip", "rdb"):
+        return "not implemented"
+    if target == "extended-adf":
+        return "lossless" if source in ("adf", "hardfile", "gzip", "extended-adf") else "not implemented"
+    return "lossless" if source in ("gzip", "adf", "hardfile", "rdb") else "lossy" if source in ("extended-adf", "scp") else "not implemented"

@@ -28,11 +28,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from palimpsest.plans import image_queries  # noqa: F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
 
 
@@ -58,7 +64,9 @@ def content_identify(spark, sf):
 
 @query("select item_id from benchmark b where not exists (select 1 from documents d where d.text = b.text)")
 def content_unknown(spark, sf):
-    return T(spark, sf, "benchmark").join(T(spark, sf, "documents").select("text"), "text", "left_anti").select("item_id")
+    facts = [F.sha1(F.col("text").cast("binary")).alias("sha1"), F.octet_length("text").alias("size")]
+    known = T(spark, sf, "documents").where("text is not null").select(*facts)
+    return T(spark, sf, "benchmark").select("item_id", *facts).join(known, ["sha1", "size"], "left_anti").select("item_id")
 
 
 @query("""select source, lang, count(*) as examined, cast(sum(n_chars) as bigint) as chars, max(n_chars) as longest,
@@ -218,7 +226,7 @@ def tree_walk(spark, sf):
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     nation, customer, region = (T(spark, sf, t) for t in ("nation", "customer", "region"))
     edges = nation.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child")).unionByName(customer.select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child")))
-    reached = R.walk(edges, region.select(name("r", "r_regionkey").alias("node")), 4).where("depth = 2")
+    reached = R.walk(edges, region.select(name("r", "r_regionkey").alias("node"))).where("depth = 2")
     out = reached.join(customer.select(name("c", "c_custkey").alias("node"), "c_custkey", "c_name"), "node")
     out = out.join(nation.select(name("n", "n_nationkey").alias("nn"), "n_name"), F.element_at("path", 2) == F.col("nn")).join(region.select(name("r", "r_regionkey").alias("rr"), "r_name"), F.element_at("path", 1) == F.col("rr"))
     return out.select(F.col("r_name").alias("region"), F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), "depth", F.col("c_custkey").alias("leaf"))

@@ -36,7 +36,7 @@ def bootblock(data: Column) -> Column:
     return F.when(F.octet_length(data) >= 1024, fields)
 
 
-def partitions(images: DataFrame, most: int = 128) -> DataFrame:
+def partitions(images: DataFrame) -> DataFrame:
     """One row for each partition in a device's list: path, seq, at, fields, and whether its checksum holds.
 
     The device's first block is the first of 16 with its magic. The list ends at its end mark, at 0, at a block that is no partition's, at one met
@@ -59,7 +59,9 @@ def partitions(images: DataFrame, most: int = 128) -> DataFrame:
         )
 
     start = F.struct(F.col("_first").alias("next"), F.array().cast("array<bigint>").alias("seen"))
-    listed = devices.withColumn("_seen", F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["seen"])
+    blocks = F.sequence(F.lit(0), (F.octet_length(content) / F.col("_bs")).cast("int"))
+    most = F.size(F.filter(blocks, lambda k: F.hex(F.substring(content, k * F.col("_bs") + 1, F.lit(4))) == PART))
+    listed = devices.withColumn("_seen", F.aggregate(F.sequence(F.lit(0), most), start, step)["seen"])
     each = listed.select("path", F.posexplode("_seen").alias("seq", "at"), F.substring(content, (F.col("at") * F.col("_bs") + 1).cast("int"), F.lit(256)).alias("p"))
     p = F.col("p")
     surfaces, per_track, low, high, flags = B.u32(p, 0x8C), B.u32(p, 0x94), B.u32(p, 0xA4), B.u32(p, 0xA8), B.u32(p, 0x14)
@@ -106,12 +108,12 @@ def allocated(page: Column, first: Column, total: Column) -> Column:
 
 
 def tracks(images: DataFrame) -> DataFrame:
-    """Tracks of extended images: path, track, kind (sector or raw), space, bits, at (where its bytes begin), and whether they lie in the file."""
+    """Tracks of extended images: path, track, kind (sector, raw or unknown-N), space, bits, at (where its bytes begin), and whether they lie in the file."""
     content = F.col("content")
     own = images.where(F.hex(F.substring("content", 1, 8)) == EXTENDED).withColumn("_n", B.u16(content, 10).cast("int")).where("_n > 0")
     each = own.select("path", "_n", F.octet_length("content").alias("_size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.substring(content, 12 * i + 13, F.lit(12)))).alias("track", "row"))
     row = F.col("row")
-    named = each.select("path", "track", "_n", "_size", F.when(B.u16(row, 2) == 0, "sector").when(B.u16(row, 2) == 1, "raw").alias("kind"), B.u32(row, 4).alias("space"), B.u32(row, 8).alias("bits"))
+    named = each.select("path", "track", "_n", "_size", F.when(B.u16(row, 2) == 0, "sector").when(B.u16(row, 2) == 1, "raw").otherwise(F.concat(F.lit("unknown-"), B.u16(row, 2).cast("string"))).alias("kind"), B.u32(row, 4).alias("space"), B.u32(row, 8).alias("bits"))
     before = F.coalesce(F.sum("space").over(Window.partitionBy("path").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = named.withColumn("at", 12 + 12 * F.col("_n") + before)
     return placed.select("path", "track", "kind", "space", "bits", "at", (F.col("at") + F.col("space") <= F.col("_size")).alias("inside"))
