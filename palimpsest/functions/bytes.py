@@ -138,3 +138,42 @@ def bare_name_in(text: Column, name: str) -> Column:
     import re
 
     return F.regexp_like(text, F.lit("(?<![A-Za-z0-9_.])" + re.escape(name)))
+
+
+def u64(data: Column, offset) -> Column:
+    """As DECIMAL(20, 0), since BIGINT is signed."""
+    at = offset if isinstance(offset, Column) else F.lit(offset)
+    return (u32(data, at).cast("decimal(20,0)") * WORD + u32(data, at + 4)).cast("decimal(20,0)")
+
+
+def big_endian(number: Column, size: int) -> Column:
+    """The lowest `size` bytes (up to 8) of a whole number."""
+    return F.unhex(F.substring(F.lpad(F.hex(number.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size))
+
+
+def put(data: Column, offset: int, number: Column, size: int) -> Column:
+    """The bytes with a number written at a place; null where it doesn't fit."""
+    fits = F.octet_length(data) >= offset + size
+    return F.when(fits, F.concat(F.substring(data, 1, offset), big_endian(number, size), F.substring(data, offset + size + 1, 1 << 30)))
+
+
+def repeated_long(data: Column) -> Column:
+    """Whether all of a block's longs are equal, as in one that was never written."""
+    return F.hex(data) == F.repeat(F.hex(F.substring(data, 1, 4)), (F.octet_length(data) / 4).cast("int"))
+
+
+def quoted(text: Column) -> Column:
+    """Text in double quotes with escapes."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for letter, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(letter), F.lit(name))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def wordlike(data: Column) -> Column:
+    """Whether bytes read like text: at most a quarter above ASCII, at least four letters of which seven tenths are letters, digits or spaces."""
+    s = latin1(data)
+    n = F.length(s)
+    high = n - F.length(F.regexp_replace(s, "[\\x80-\\xFF]", ""))
+    good = F.length(F.regexp_replace(s, "[^A-Za-z0-9 ]", ""))
+    return (n >= 4) & (4 * high <= n) & (10 * good >= 7 * n)

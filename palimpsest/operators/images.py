@@ -749,3 +749,93 @@ def specs(images: DataFrame) -> DataFrame:
         yield from facts
 
     return per_image(images, one, "topic string, fact string, because string")
+
+
+# More sinks
+
+
+def extract(images: DataFrame, entry: str, partition: str | None = None) -> DataFrame:
+    """One path's bytes of each image, or why not; faults as files() tells them."""
+
+    def one(content: bytes):
+        x = Image.open(content)
+        area = x.area(partition) if partition is not None else next(x.areas(), None)
+        v = area.mount() if area is not None else None
+        if v is None:
+            yield None, None, False, "no volume"
+            return
+        try:
+            found, _ = v.lookup(entry)
+            if found is None:
+                raise Unreadable("not a directory", v.root, "the root")
+            c = v.read(found)
+            yield c.data, c.declared, c.short_by == 0, None
+        except Unreadable as e:
+            yield None, None, False, e.fault.kind
+
+    return per_image(images, one, "data binary, declared_size bigint, complete boolean, refused string")
+
+
+def written(path: str, data: bytes) -> str:
+    """written, or exists where something has the name: the file appears whole or not at all, and nothing is overwritten."""
+    import os
+    import uuid
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(own, "xb") as f:
+            f.write(data)
+        os.link(own, path)  # fails where the name is taken
+    except FileExistsError:
+        return "exists"
+    finally:
+        if os.path.exists(own):
+            os.unlink(own)
+    return "written"
+
+
+def write_bytes(rows: DataFrame, root: str, name: str = "path", data: str = "data") -> DataFrame:
+    """Writes each row's bytes under root by its name, made fit for any host; outcome written or exists; rows without bytes are skipped."""
+    import os
+
+    def one(content: bytes, label: str, there: bool):
+        if not there:
+            yield None, "skipped", 0
+            return
+        target = os.path.join(root, *[image.host_name(p) for p in label.split("/") if p])
+        yield target, written(target, content), len(content)
+
+    given = rows.select(F.col(name).alias("path"), F.col(data).alias("content"), F.col(name).alias("_label"), F.col(data).isNotNull().alias("_there"))
+    return per_image(given, one, "target string, outcome string, bytes bigint", ["_label", "_there"]).drop("_label", "_there")
+
+
+def write_carved(images: DataFrame, root: str) -> DataFrame:
+    """Writes what carving can recover, under root/<image>/<name made of block and name>."""
+    found = carve(images).where("recoverable")
+    label = F.element_at(F.split("path", "/"), -1)
+    return write_bytes(found.select(F.concat_ws("/", label, "recovered_name").alias("path"), "data"), root)
+
+
+def save_over(path: str, data: bytes, size: int, crc: int) -> str:
+    """Replaces a file that is still as it was read (size and crc32), keeping it as .orig, .orig-1 and so on; returns the kept one's name."""
+    import os
+    import uuid
+
+    with open(path, "rb") as f:
+        now = f.read()
+    if len(now) != size or zlib.crc32(now) != crc:
+        raise ValueError("the file has changed since it was read")
+    n, kept = 0, f"{path}.orig"
+    while True:
+        try:
+            os.link(path, kept)
+            break
+        except FileExistsError:
+            n += 1
+            kept = f"{path}.orig-{n}"
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "xb") as f:
+        f.write(data)
+    os.replace(own, path)
+    return kept

@@ -175,3 +175,27 @@ def list_json(spark, sf):
     lines = I.json_lines(I.walk(volumes(spark, sf)), "list")
     ascii_only = lines.where(F.regexp_like("value", F.lit(r'^\{"schema":"list/1",[\x20-\x7E]*\}$')))
     return ascii_only.groupBy(F.get_json_object("value", "$.schema").alias("schema")).agg(F.count("*").alias("docs"))
+
+
+@query("select doc_id, octet_length(encode(text)) // 2 * 2 as bytes from documents where octet_length(encode(text)) >= 2")
+def code_tiles(spark, sf):
+    """Any bytes as code: instructions and words of data tile them, none before the last one's end and none beyond."""
+    from palimpsest.operators import code
+
+    docs = T(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.lit("d").alias("entry"), F.col("text").cast("binary").alias("data"))
+    lines = code.instructions(docs, raw=True)
+    whole = lines.groupBy(F.col("path").alias("doc_id")).agg(F.sum("size").alias("bytes"), F.max(F.col("at") + F.col("size")).alias("end"))
+    return whole.where("end = bytes").select("doc_id", "bytes")
+
+
+@query("select doc_id, 'text form' as kind, octet_length(encode(text)) as characters, cast(null as varchar) as refused from documents where text is not null")
+def decode_forms(spark, sf):
+    """Documents as formatted-text files, decoded."""
+    long = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    body = F.col("text").cast("binary")
+    n = F.octet_length(body)
+    pad = F.when(n % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.lit(b""))
+    form = F.concat(F.lit(b"FORM"), long(n + n % 2 + 12), F.lit(b"FTXTCHRS"), long(n), body, pad)
+    docs = T(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.lit("x").alias("entry"), form.alias("data"))
+    told = F.filter("fields", lambda f: f["name"] == "characters")[0]["value"].cast("bigint")
+    return I.decode(docs).select(F.col("path").alias("doc_id"), "kind", told.alias("characters"), "refused")
