@@ -456,11 +456,12 @@ def as_extended(data: bytes) -> bytes:
 CHANGES = "array<struct<op: string, path: string, other: string, data: binary>>"
 
 
-def apply_changes(images: DataFrame, changes: str = "changes") -> DataFrame:
+def apply_changes(images: DataFrame, changes: str = "changes", judged: bool = True) -> DataFrame:
     """Each image after its row's changes, in order: content, how many were made, and why the first refused one was; a refusal ends the row's changes.
 
     changes: array of struct(op, path, other, data). op: mkdir, put (data), rm, rmtree, rename (other: name), mv (other: folder), link (other: target), undelete (path: block), repair,
     repair-free, wipe, wipe-free, format (path: name, other: flags), undo, redo; on devices partition-rename, -boot, -delete, -add (path: name:cylinders), -grow (other: cylinders).
+    Unless judged is off, the volume is examined after each change, and one that brings findings of a warning or worse is refused.
     """
 
     def one(content: bytes, wanted):
@@ -478,9 +479,9 @@ def apply_changes(images: DataFrame, changes: str = "changes") -> DataFrame:
                     content = run()
                 else:
                     if e is None and op != "format":
-                        e = edit.Editor(content)
+                        e = edit.Editor(content, judged=judged)
                     if op == "format":
-                        e = edit.Editor(edit.blank(len(content) // BLOCK, path, int(other or 0)))
+                        e = edit.Editor(edit.blank(len(content) // BLOCK, path, int(other or 0)), judged=judged)
                     else:
                         {
                             "mkdir": lambda: e.make_dir(path), "put": lambda: e.add_file(path, data or b""), "rm": lambda: e.delete(path), "rmtree": lambda: e.delete_tree(path), "rename": lambda: e.rename(path, other),

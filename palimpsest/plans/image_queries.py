@@ -55,26 +55,26 @@ def volume_layout(spark, sf):
     return I.layout_totals(I.layout(volumes(spark, sf))).where("region not in ('unclaimed', 'bitmap')")
 
 
-def _without_long(spark, sf, least: int = 2000) -> DataFrame:
+def _without_long(spark, sf, judged: bool, least: int = 2000) -> DataFrame:
     """The volumes after the files of at least so many bytes were deleted."""
     built = volumes(spark, sf)
     docs = T(spark, sf, "documents").where(F.octet_length("text") >= least)
     op = F.struct(F.lit("rm").alias("op"), F.concat(F.lit("d"), "doc_id").alias("path"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("binary").alias("data"))
     gone = docs.groupBy(F.concat(F.lit("vol-"), F.floor(F.col("doc_id") / 40).cast("string")).alias("path")).agg(F.array_sort(F.collect_list(op)).alias("changes"))
-    return I.apply_changes(built.join(gone, "path", "left"))
+    return I.apply_changes(built.join(gone, "path", "left"), judged=judged)
 
 
 @query(f"{FACTS} select path, entry as name, size, 'self-evident' as evidence, n as data_blocks, sha1(text) as sha1 from b where size >= 2000")
 def carve_deleted(spark, sf):
     """Deleted files found again by headers that nothing claims, and their bytes from blocks that name them as their owner."""
-    found = I.carve(_without_long(spark, sf))
+    found = I.carve(_without_long(spark, sf, False))
     return found.where("recoverable").select("path", "name", "size", "evidence", "data_blocks", F.sha1("data").alias("sha1"))
 
 
 @query(f"{FACTS} select path, count(*) filter (size < 2000) as files, count(*) filter (size >= 2000) as made, cast(null as varchar) as refused, cast(sum(size) filter (size < 2000) as bigint) as bytes from b group by path")
 def delete_files(spark, sf):
     """Changes of images, judged by the health rules, and what is left."""
-    after = _without_long(spark, sf)
+    after = _without_long(spark, sf, True)
     left = I.files(after).groupBy("path").agg(F.count("*").alias("files"), F.sum("declared_size").alias("bytes"))
     return after.select("path", "made", "refused").join(left, "path", "left").select("path", F.coalesce("files", F.lit(0)).alias("files"), F.col("made").cast("bigint").alias("made"), "refused", "bytes")
 
@@ -141,12 +141,12 @@ TABLE = [("article", "word", b"the", True), ("long article", "word", b"there", T
 with h as (select doc_id, hex(encode(text)) as x from documents where text is not null),
 s(name, magic, aligned) as (values ('article', hex(encode('the')), true), ('long article', hex(encode('there')), true), ('blank', '20', true), ('key', hex(encode('AKIA')), false)),
 k as (select doc_id, x, unnest(range(0, length(x) // 1024 + 1)) as k from h),
-a as (select doc_id, name, k * 512 as at, length(magic) as n from k, s where aligned and substr(x, 1 + k * 1024, length(magic)) = magic
-    union all select doc_id, name, at, length(magic) from (select doc_id, x, name, magic, unnest(range(0, length(x) // 2)) as at from h, s where not aligned and contains(x, magic)) where substr(x, 1 + 2 * at, length(magic)) = magic),
-m as (select doc_id, at, arg_min(name, (-n, name)) as name from a group by all),
-o as (select *, case when name = lag(name) over w and at % 512 = 0 and lag(at) over w = at - 512 then 0 else 1 end as fresh from m window w as (partition by doc_id order by at)),
-r as (select *, sum(fresh) over (partition by doc_id order by at rows unbounded preceding) as run from o)
-select doc_id, name, min(at) as "offset", min(at) // 512 as block, count(*) as blocks from r group by doc_id, run, name""")
+a as (select doc_id, name, k * 512 as pos, length(magic) as n from k, s where aligned and substr(x, 1 + k * 1024, length(magic)) = magic
+    union all select doc_id, name, pos, length(magic) from (select doc_id, x, name, magic, unnest(range(0, length(x) // 2)) as pos from h, s where not aligned and contains(x, magic)) where substr(x, 1 + 2 * pos, length(magic)) = magic),
+m as (select doc_id, pos, arg_min(name, (-n, name)) as name from a group by all),
+o as (select *, case when name = lag(name) over w and pos % 512 = 0 and lag(pos) over w = pos - 512 then 0 else 1 end as fresh from m window w as (partition by doc_id order by pos)),
+r as (select *, sum(fresh) over (partition by doc_id order by pos rows unbounded preceding) as run from o)
+select doc_id, name, min(pos) as "offset", min(pos) // 512 as block, count(*) as blocks from r group by doc_id, run, name""")
 def scan_blocks(spark, sf):
     """Magics over whole contents: at every block's beginning or anywhere, the longest at a place, neighbouring blocks in one hit."""
     docs = T(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
