@@ -77,18 +77,11 @@ calls as (select *, case when role = 'system' then 'instruct' else 'reply' end a
 results as (select *, 'c' || conv_id || '-' || (turn - 1) as before from m where role = 'assistant'),
 answered as (select conv_id, before as id, count(*) as n, max(turn) as turn from results group by all),
 asked as (select conv_id, own as id, count(*) as n, min(name) as name, max(turn) as turn from calls group by all),
--- Replies in chains: each depends on the one two turns before.
-replies as (select distinct conv_id, turn from calls where name = 'reply'),
-runs as (select *, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from replies),
-depth as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from runs),
-final as (select conv_id, max(turn) as turn from replies group by conv_id),
--- Conversations whose instruction stands before the last reply's answer.
-hard as (select distinct c.conv_id from calls c join final f on f.conv_id = c.conv_id
+final as (select conv_id, max(turn) as turn from calls where name = 'reply' group by conv_id),
+-- Instructions that stand before the last reply's answer come a level later; every other call finds what it depends on on earlier turns.
+levels as (select distinct c.conv_id, c.own as id, 1 as level from calls c join final f on f.conv_id = c.conv_id
     left join answered a on a.conv_id = f.conv_id and a.id = 'c' || f.conv_id || '-' || f.turn
-    where c.name = 'instruct' and not coalesce(greatest(f.turn, coalesce(a.turn, f.turn)) < c.turn, false) and f.turn is not null),
-levels as (select h.conv_id, 'c' || d.conv_id || '-' || d.turn as id, d.level from hard h join depth d on d.conv_id = h.conv_id where d.turn is not null
-    union all select distinct c.conv_id, c.own, d.level + 1 from calls c join hard h on h.conv_id = c.conv_id join final f on f.conv_id = c.conv_id
-    join depth d on d.conv_id = f.conv_id and d.turn = f.turn where c.name = 'instruct' and c.own is not null)
+    where c.name = 'instruct' and c.own is not null and f.turn is not null and not coalesce(greatest(f.turn, coalesce(a.turn, f.turn)) < c.turn, false))
 select c.conv_id as conversation, coalesce(l.level, 0) * 4294967296 + coalesce(c.turn, 0) * 2 as place, c.turn, 'call' as kind, c.own as call_id,
     case when a.n is null then 'unanswered' when a.n > 1 then 'repeated' else 'linked' end as status,
     case when c.name = 'instruct' then 'unknown turn' else '' end as problems,

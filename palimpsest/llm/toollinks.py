@@ -60,29 +60,51 @@ def node(call_id: Column, turn: Column) -> Column:
     return F.coalesce(call_id, F.concat(F.lit("\x00"), F.coalesce(turn.cast("string"), F.lit(""))))
 
 
+#: Rounds in which levels may settle by themselves; conversations that need more are ordered by taking away what waits for nothing.
+ROUNDS = 4
+
+
 def levels(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """conversation, node and level of each call: 0 unless its conversation has a dependency whose results aren't all on an earlier turn, else one more
-    than the highest of its dependencies (ones that aren't calls of the conversation don't count); -1 on or behind a cycle.
+    """conversation, node and level of each call; by level, then turn, a call comes after the results of all its dependencies.
 
-    As many rounds are run as the longest chain of such a conversation has calls.
+    A dependency whose results don't all stand on earlier turns is late: it takes a level more than what it depends on, any other at
+    least as much. Levels are raised in rounds until none changes. In a conversation that still changes after ROUNDS rounds, calls that wait for nothing are taken away in
+    rounds instead, as many as its longest chain has calls; what then is left is on or behind a cycle and gets -1. Dependencies that aren't calls of the conversation don't count.
     """
     own = calls.select("conversation", node(F.col("call_id"), F.col("turn")).alias("node"), "turn", "depends_on")
     ids = own.groupBy("conversation", "node").agg(F.max("turn").alias("asked"))
     ready = results.groupBy("conversation", F.col("call_id").alias("node")).agg(F.max("turn").alias("answered"))
     ready = ids.join(ready, ["conversation", "node"], "left").select("conversation", F.col("node").alias("on"), F.greatest("asked", F.coalesce("answered", "asked")).alias("ready"))
-    edges = own.select("conversation", "node", "turn", F.explode("depends_on").alias("on")).join(ready, ["conversation", "on"])
-    forward = edges.where(~F.coalesce(F.col("ready") < F.col("turn"), F.lit(False))).select("conversation").distinct()
+    late = 1 - F.coalesce(F.col("ready") < F.col("turn"), F.lit(False)).cast("int")
+    edges = own.select("conversation", "node", "turn", F.explode("depends_on").alias("on")).join(ready, ["conversation", "on"]).groupBy("conversation", "node", "on").agg(F.max(late).alias("late"))
+    edges = materialise(edges, "edges")
+    forward = edges.where("late = 1").select("conversation").distinct()
+    flat = ids.select("conversation", "node", F.lit(0).alias("level"))
     if forward.isEmpty():
-        return ids.select("conversation", "node", F.lit(0).alias("level"))
-    hard = materialise(edges.join(forward, "conversation", "left_semi").select("conversation", "node", "on").distinct(), "edges")
-    now = materialise(ids.join(forward, "conversation", "left_semi").select("conversation", "node"), "waiting")
-    # Kahn's rounds: what depends on nothing that waits gets this round's level.
-    done, left, level = ids.join(forward, "conversation", "left_anti").select("conversation", "node", F.lit(0).alias("level")), now.count(), 0
+        return flat
+    keys = ["conversation", "node"]
+    hard = edges.join(forward, "conversation", "left_semi")
+    # The first round: all levels are 0 before it.
+    state = flat.join(forward, "conversation", "left_semi").drop("level").join(hard.groupBy(*keys).agg(F.max("late").alias("level")), keys, "left")
+    state = materialise(state.select(*keys, F.coalesce("level", F.lit(0)).alias("level"), F.lit(True).alias("changed")), "levels")
+    done = flat.join(forward, "conversation", "left_anti")
+    for _ in range(ROUNDS):
+        up = hard.join(state.select("conversation", F.col("node").alias("on"), F.col("level").alias("below")), ["conversation", "on"]).groupBy(*keys).agg(F.max(F.col("below") + F.col("late")).alias("want"))
+        raised = state.select(*keys, "level").join(up, keys, "left")
+        more = F.coalesce(F.col("want") > F.col("level"), F.lit(False))
+        state = materialise(raised.select(*keys, F.when(more, F.col("want")).otherwise(F.col("level")).alias("level"), more.alias("changed")), "levels")
+        restless = state.where("changed").select("conversation").distinct()
+        if restless.isEmpty():
+            return done.unionByName(state.select(*keys, "level"))
+    done = done.unionByName(state.join(restless, "conversation", "left_anti").select(*keys, "level"))
+    hard = materialise(hard.join(restless, "conversation", "left_semi").select("conversation", "node", "on"), "edges")
+    now = state.join(restless, "conversation", "left_semi").select(*keys)
+    left, level = now.count(), 0
     while left:
-        waits = hard.join(now.withColumnRenamed("node", "on"), ["conversation", "on"], "left_semi").select("conversation", "node", F.lit(True).alias("waits")).distinct()
-        state = materialise(now.join(waits, ["conversation", "node"], "left"), "levels")
-        done = done.unionByName(state.where("waits is null").select("conversation", "node", F.lit(level).alias("level")))
-        now = state.where("waits").drop("waits")
+        waits = hard.join(now.withColumnRenamed("node", "on"), ["conversation", "on"], "left_semi").select(*keys, F.lit(True).alias("waits")).distinct()
+        taken = materialise(now.join(waits, keys, "left"), "levels")
+        done = done.unionByName(taken.where("waits is null").select(*keys, F.lit(level).alias("level")))
+        now = taken.where("waits").drop("waits")
         still, level = now.count(), level + 1
         if still == left:
             break
