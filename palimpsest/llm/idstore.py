@@ -4,7 +4,7 @@ A store is a folder: ids-NNNNN.bin (a header, then raw little-endian ids of the
 after another, in ascending key order over the shards) and index-NNNNN.mph. A key's hash
 names its index file; there a minimal perfect hash gives a slot, whose stored fingerprint
 tells foreign keys, and the slot's entries give shard, offset, length and the number of ids in all
-documents before. Each step takes constant time.
+documents before. Each step is a read of a few bytes at a known place, so a key takes constant time; for many keys of a file it is read as a whole.
 
 The hash is built in levels: keys that are alone at their position of a bit array are placed, the others
 go on to the next level; a slot is the rank of the set bit over all levels.
@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from palimpsest.llm.textkit import ASCII_SPACE, binary_array, gather, materialise, raw, shared_folder, sized, sliced
 
 MAGIC = b"PLMPIDS1"
+#: Keys in an index file, about; and a file's keys to one asked for from which on it is read as a whole.
+KEYS, FEW = 1 << 20, 64
 HEADER = 16
 
 
@@ -313,7 +315,8 @@ def write_store(docs: DataFrame, root: str, vocabulary: str, key: str = "doc_id"
     placed = materialise(ranged.mapInArrow(run, "key bigint, shard bigint, at bigint, n bigint"), "placed")
     totals = placed.groupBy("shard").agg(F.sum("n").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    buckets = sized(spark)
+    # An index file holds about a million keys at most, however many there are.
+    buckets = max(sized(spark), -(-placed.count() // KEYS))
     located = placed.join(F.broadcast(before), "shard").select("key", "shard", "at", "n", (F.col("before") + F.col("at")).alias("start"))
     located = located.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
 
@@ -344,30 +347,82 @@ def write_store(docs: DataFrame, root: str, vocabulary: str, key: str = "doc_id"
 
 def pack(hashed: PerfectHash, counts: np.ndarray, entries: np.ndarray, nulls: np.ndarray) -> bytes:
     """An index file: a JSON line with the arrays' sizes, then the arrays. counts: entries of each slot; nulls: entries of null keys."""
-    arrays = [np.array([s for s, _ in hashed.levels], "<i8"), hashed.words.astype("<u8"), hashed.fingerprints.astype("<u4"), counts.astype("<i8"), entries.astype("<i8").ravel(), nulls.astype("<i8").ravel()]
-    head = json.dumps([[len(a), a.dtype.str] for a in arrays]).encode() + b"\n"
-    return head + b"".join(a.tobytes() for a in arrays)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    arrays = [np.array([s for s, _ in hashed.levels], "<i8"), hashed.words.astype("<u8"), hashed.rank.astype("<i8"), hashed.fingerprints.astype("<u4"), begin.astype("<i8"), entries.astype("<i8").ravel(), nulls.astype("<i8").ravel()]
+    head = json.dumps([[len(a), a.dtype.str] for a in arrays]).encode()
+    return len(head).to_bytes(HEAD, "little") + head + b"".join(a.tobytes() for a in arrays)
+
+
+HEAD = 8
 
 
 def unpack(data: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
     """The hash, where each slot's entries begin, the entries (shard, offset, length, start), and those of null keys."""
-    head = data.index(b"\n") + 1
+    at = HEAD + int.from_bytes(data[:HEAD], "little")
     out = []
-    at = head
-    for n, kind in json.loads(data[:head]):
+    for n, kind in json.loads(data[HEAD:at]):
         a = np.frombuffer(data, kind, n, at)
         at += a.nbytes
         out.append(a)
-    sizes, words, fingers, counts, entries, nulls = out
+    sizes, words, _, fingers, begin, entries, nulls = out
     cuts = np.cumsum([0, *[s // 64 for s in sizes.tolist()]])
     levels = [(int(s), words[cuts[i] : cuts[i + 1]]) for i, s in enumerate(sizes.tolist())]
-    return PerfectHash(levels, fingers), np.concatenate([[0], np.cumsum(counts)]), entries.reshape(-1, 4), nulls.reshape(-1, 4)
+    return PerfectHash(levels, fingers), begin, entries.reshape(-1, 4), nulls.reshape(-1, 4)
+
+
+class IndexFile:
+    """An index file read by range: a key takes a word a level (1.6 of them at most on average), then its rank, fingerprint, bounds and entries, whatever the file's size."""
+
+    def __init__(self, file):
+        self.file = file
+        n = int.from_bytes(file.read_at(HEAD, 0), "little")
+        at, self.arrays = HEAD + n, []
+        for count, kind in json.loads(file.read_at(n, HEAD)):
+            self.arrays.append((at, np.dtype(kind), count))
+            at += count * np.dtype(kind).itemsize
+        self.sizes = self._part(0, 0, self.arrays[0][2])
+        self.keys = self.arrays[3][2]
+
+    def _part(self, array: int, first: int, n: int) -> np.ndarray:
+        at, kind, _ = self.arrays[array]
+        return np.frombuffer(self.file.read_at(n * kind.itemsize, at + first * kind.itemsize), kind, n)
+
+    def get(self, key: int) -> np.ndarray:
+        """Entries of a key, none if the file lacks it."""
+        one, base = np.array([key], np.int64), 0
+        for seed, size in enumerate(self.sizes.tolist()):
+            at = int(mixed(one, seed)[0] % np.uint64(size))
+            word, bit = int(self._part(1, base + (at >> 6), 1)[0]), at & 63
+            if word >> bit & 1:
+                slot = int(self._part(2, base + (at >> 6), 1)[0]) + (word & ((1 << bit) - 1)).bit_count()
+                if self._part(3, slot, 1)[0] != PerfectHash._finger(one)[0]:
+                    break
+                low, high = self._part(4, slot, 2).tolist()
+                return self._part(5, 4 * low, 4 * (high - low)).reshape(-1, 4)
+            base += size // 64
+        return np.zeros((0, 4), np.int64)
+
+    def nulls(self) -> np.ndarray:
+        return self._part(6, 0, self.arrays[6][2]).reshape(-1, 4)
+
+
+def read_one(store: dict, key: int, bucket: int) -> list[np.ndarray]:
+    """The ids of each document with a key, by range reads alone. bucket: pmod(xxhash64(key), buckets), as Spark computes it."""
+    files, base = _store(store["root"])
+    path = f"{base}/index-{bucket:05d}.mph"
+    if files.get_file_info(path).type != pafs.FileType.File:
+        return []
+    out, width = [], store["width"]
+    for shard, at, n, _ in IndexFile(files.open_input_file(path)).get(key).tolist():
+        source = files.open_input_file(f"{base}/ids-{shard:05d}.bin")
+        out.append(np.frombuffer(source.read_at(n * width, HEADER + at * width), f"<u{width}").astype("<u4"))
+    return out
 
 
 def lookup(keys: DataFrame, store: dict, key: str = "doc_id") -> DataFrame:
     """The documents of the keys (any number of each key; null finds null): key, shard, at, start, n and ids (binary, 32-bit little-endian).
 
-    Keys that the store lacks give no row. Reads are by range: the index files and ids asked for.
+    Keys that the store lacks give no row. Reads are by range: index entries (or, where many keys are asked for, whole index files) and the ids asked for.
     """
     spark = keys.sparkSession
     root, buckets, width = store["root"], store["buckets"], store["width"]
@@ -379,21 +434,28 @@ def lookup(keys: DataFrame, store: dict, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             bucket_of = batch.column(1).to_numpy()
             for b in np.unique(bucket_of).tolist():
-                if held[0] != b:
-                    path = f"{base}/index-{b:05d}.mph"
-                    there = files.get_file_info(path).type == pafs.FileType.File
-                    held = (b, unpack(files.open_input_file(path).readall()) if there else None)
-                if held[1] is None:
-                    continue
-                hashed, begin, entries, nulls = held[1]
+                path = f"{base}/index-{b:05d}.mph"
                 column = batch.column(0).filter(pa.array(bucket_of == b))
                 null = column.is_null().to_numpy(zero_copy_only=False)
                 own = column.drop_null().to_numpy()
-                slot = hashed.find(own)
-                own, slot = own[slot >= 0], slot[slot >= 0]
-                count = begin[slot + 1] - begin[slot]
-                found = entries[gather(begin[slot], count)]
-                name = pa.array(np.repeat(own, count))
+                if held[0] != b:
+                    if files.get_file_info(path).type != pafs.FileType.File:
+                        continue
+                    file = IndexFile(files.open_input_file(path))
+                    if len(own) * FEW < file.keys:
+                        found = [file.get(k) for k in own.tolist()]
+                        name = pa.array(np.repeat(own, [len(f) for f in found]))
+                        found = np.concatenate([np.zeros((0, 4), np.int64), *found])
+                        nulls = file.nulls() if null.any() else found[:0]
+                    else:
+                        held = (b, unpack(files.open_input_file(path).readall()))
+                if held[0] == b:
+                    hashed, begin, entries, nulls = held[1]
+                    slot = hashed.find(own)
+                    own, slot = own[slot >= 0], slot[slot >= 0]
+                    count = begin[slot + 1] - begin[slot]
+                    found = entries[gather(begin[slot], count)]
+                    name = pa.array(np.repeat(own, count))
                 if null.any() and len(nulls):
                     found, name = np.concatenate([found, nulls]), pa.concat_arrays([name, pa.nulls(len(nulls), pa.int64())])
                 if len(found):
