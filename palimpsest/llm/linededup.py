@@ -18,8 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textkit import annotate, materialise
+from palimpsest.llm.textkit import annotate, looked_up, materialise
 
+#: Places of one fingerprint in one task of a join at most, about.
+SHARE = 512
 _H = xxhash.xxh64_intdigest
 _MASK = (1 << 63) - 1
 
@@ -188,18 +190,18 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", nois
     keyed = annotate(source, ["k", "h"], "t", lambda: places_kernel(noise, guarantee), PLACES)
     flat = materialise(keyed.select("k", "h", F.explode("places").alias("p")).select("k", "h", "p.*"), "places")
     order = F.struct(F.col("k").isNull().alias("n"), "k", "h", "at")
-    common = flat.groupBy("fp").agg(F.count("*").alias("c"), F.min(order).alias("s")).where("c > 1").select("fp", "s")
-    hits = materialise(flat.join(common, "fp"), "hits")
+    common = materialise(flat.groupBy("fp").agg(F.count("*").alias("c"), F.min(order).alias("s")).where("c > 1"), "common")
+    hits = materialise(looked_up(flat, common, "fp", ["k", "h", "at"], SHARE), "hits")
     mine = order.eqNullSafe(F.col("s"))
-    source = hits.where(mine).groupBy("fp").agg(F.first(F.struct(F.col("at").alias("s_at"), F.col("low").alias("s_low"), F.col("lines").alias("s_lines"))).alias("s"))
-    source = source.select("fp", "s.*")
-    later = hits.where(~mine).drop("s")
+    source = hits.where(mine).groupBy("fp").agg(F.first(F.struct(F.col("at").alias("s_at"), F.col("low").alias("s_low"), F.col("lines").alias("s_lines"))).alias("x"))
+    source = common.select("fp", "c").join(source.select("fp", "x.*"), "fp")
     kind = _type(docs, key)
-    found = later.join(source, "fp").select("k", "h", "at", "low", "lines", "s_at", "s_low", "s_lines").mapInArrow(_extend, f"k {kind}, h bigint, first int, end int")
+    pairs = looked_up(hits.where(~mine).drop("s", "c"), source, "fp", ["k", "h", "at"], SHARE)
+    found = pairs.select("k", "h", "at", "low", "lines", "s_at", "s_low", "s_lines").mapInArrow(_extend, f"k {kind}, h bigint, first int, end int")
     held = materialise(hits.select("k", "h", "low", "since", "until", "lines", "words").mapInArrow(_windows(guarantee), f"k {kind}, h bigint, code bigint, first int, end int"), "windows")
     order = F.struct(F.col("k").isNull().alias("n"), "k", "h", "first")
-    common = held.groupBy("code").agg(F.count("*").alias("c"), F.min(order).alias("s")).where("c > 1").select("code", "s")
-    found = found.unionByName(held.join(common, "code").where(~order.eqNullSafe(F.col("s"))).select("k", "h", "first", "end"))
+    common = held.groupBy("code").agg(F.count("*").alias("c"), F.min(order).alias("s")).where("c > 1")
+    found = found.unionByName(looked_up(held, common, "code", ["k", "h", "first"], SHARE).where(~order.eqNullSafe(F.col("s"))).select("k", "h", "first", "end"))
     # Of a text's runs from one line on, the longest.
     return found.groupBy("k", "h", "first").agg(F.max("end").alias("end"))
 
@@ -234,7 +236,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Every row and all columns stay. A null text stays null; a text of nothing but repeated lines becomes what
     blank lines it has. The first place of a run stays, and rows with equal key and text are one text, so repeated rows keep theirs. removed must not be a column's name.
-    A fingerprint that a third of all texts have is counted before its shuffle and joined with its one source.
+    A fingerprint that a third of all texts have is counted and its first place found by aggregations that combine before their shuffles; its
+    places are then dealt out to several tasks.
     """
     if removed in docs.columns:
         raise ValueError(f"{removed} is a column already")

@@ -192,11 +192,13 @@ def transform_texts(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Re
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new folder below the checkpoint folder that all executors reach."""
+    """A new folder below the checkpoint folder that all executors reach. Only a local session, as in tests, may do without that setting."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
@@ -214,3 +216,22 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 def sized(spark, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Hot keys that are broadcast by name at most.
+FEW_KEYS = 1 << 20
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, by: list[str], share: int = 4096) -> DataFrame:
+    """rows joined with the one row that table has for their key. table's column c counts a key's rows: a key with more than `share` is dealt out by
+    hashes of the columns `by` to several tasks, and its row in table goes to each of them, so no key's rows meet in one task."""
+    cuts = F.greatest(F.ceil(F.col("c") / share), F.lit(1)).cast("int")
+    hot = table.where(F.col("c") > share).select(F.col(key).alias("\x01key"), cuts.alias("\x01cuts"))
+    # There are fewer hot keys than rows / share, and they are named by few bytes each.
+    n = hot.count()
+    if not n:
+        return rows.join(table, key)
+    spread = table.withColumn("\x01part", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    named = rows.join(F.broadcast(hot) if n <= FEW_KEYS else hot, F.col(key) == F.col("\x01key"), "left")
+    part = F.pmod(F.xxhash64(*by), F.coalesce("\x01cuts", F.lit(1))).cast("int")
+    return named.withColumn("\x01part", part).drop("\x01key", "\x01cuts").join(spread, [key, "\x01part"]).drop("\x01part")

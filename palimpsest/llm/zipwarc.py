@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textkit import materialise, shared_folder, sized
+from palimpsest.llm.textkit import looked_up, materialise, shared_folder, sized
 from palimpsest.llm.idstore import publish
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -138,12 +138,13 @@ def write_packages(pages: DataFrame, root: str, key: str = "page_id", url: str =
 
     payload is a string column; null counts as empty. Of rows with equal payloads those with the largest key are responses, the others
     revisit it; null keys are less than all others, and of payloads with null keys only all rows are responses. Columns other than these three
-    aren't read. A payload that a third of all rows have is counted before its shuffle, and its join may be split.
+    aren't read. A payload that a third of all rows have is counted by an aggregation that
+    combines before its shuffle, and its rows are dealt out to several tasks. An empty table gives no package.
     """
     source = pages.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
     source = source.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    largest = source.groupBy("digest").agg(F.max("key").alias("last"))
-    rows = source.join(largest, "digest").select("key", "url", "payload", "last")
+    largest = materialise(source.groupBy("digest").agg(F.count("*").alias("c"), F.max("key").alias("last")), "digests")
+    rows = looked_up(source, largest, "digest", ["key", "url"]).select("key", "url", "payload", "last")
 
     def run(batches):
         from pyspark import TaskContext
@@ -204,10 +205,11 @@ def _opened(root: str, path: str) -> tuple[ZipReader, object]:
     return ZipReader(lambda at, n: source.read_at(n, at), source.size()), source
 
 
-def read_packages(packages: DataFrame, root: str, run_records: int = 2000) -> DataFrame:
+def read_packages(packages: DataFrame, root: str, run_records: int = 2000, run_bytes: int = 8 << 20) -> DataFrame:
     """Every record of the packages (column path): page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to.
 
-    The indexes are read first; their records are shared out in runs of neighbours, and each run is one range read. A
+    The indexes are read first; their records are shared out in runs of neighbours of at most so many records and packed bytes (or one record), and
+    each run is one range read; of what it unpacks to, a task holds run_bytes and one record. A
     response whose payload doesn't have its digest and length raises an error.
     """
     spark = packages.sparkSession
@@ -219,8 +221,13 @@ def read_packages(packages: DataFrame, root: str, run_records: int = 2000) -> Da
                 data = reader.range(INDEX, 0, reader.members[INDEX]["size"])
                 lines = [json.loads(x) for x in data.decode().split("\n") if x]
                 source.close()
-                for low in range(0, len(lines), run_records):
-                    part = lines[low : low + run_records]
+                low = 0
+                while low < len(lines):
+                    high, total = low + 1, lines[low]["length"]
+                    while high < len(lines) and high - low < run_records and total + lines[high]["length"] <= run_bytes:
+                        total += lines[high]["length"]
+                        high += 1
+                    part, low = lines[low:high], high
                     sizes = [x["length"] for x in part]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path]), pa.array([part[0]["offset"]]), pa.array([sizes], pa.list_(pa.int64()))], names=["path", "offset", "lengths"]
@@ -230,8 +237,8 @@ def read_packages(packages: DataFrame, root: str, run_records: int = 2000) -> Da
         for batch in batches:
             for path, offset, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader, source = _opened(root, path)
-                out: dict[str, list] = {k: [] for k in ("page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to")}
-                data, at = reader.range(DATA, offset, sum(lengths)), 0
+                data, at, held = reader.range(DATA, offset, sum(lengths)), 0, 0
+                rows: list[tuple] = []
                 for n in lengths:
                     fields, payload = parse_record(zlib.decompress(data[at : at + n], 31))
                     at += n
@@ -239,16 +246,21 @@ def read_packages(packages: DataFrame, root: str, run_records: int = 2000) -> Da
                     size = int(fields["x-payload-length"])
                     if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
                         raise ValueError(f"a damaged payload in {path}")
-                    out["page_id"].append(page_of(fields["warc-record-id"]))
-                    out["url"].append(fields["warc-target-uri"])
-                    out["record_type"].append(kind)
-                    out["payload"].append(payload.decode() if kind == "response" else None)
-                    out["payload_bytes"].append(size)
-                    out["payload_digest"].append(digest)
-                    out["refers_to"].append(page_of(fields["warc-refers-to"]) if kind == "revisit" else None)
+                    first = kind == "response"
+                    rows.append((page_of(fields["warc-record-id"]), fields["warc-target-uri"], kind, payload.decode() if first else None, size, digest, None if first else page_of(fields["warc-refers-to"])))
+                    held += len(payload)
+                    if held >= run_bytes:
+                        yield table(rows)
+                        rows, held = [], 0
                 source.close()
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+                if rows:
+                    yield table(rows)
+
+    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     listed = packages.select("path").repartition(sized(spark)).mapInArrow(runs, "path string, offset bigint, lengths array<bigint>")
     schema = "page_id bigint, url string, record_type string, payload string, payload_bytes bigint, payload_digest string, refers_to bigint"
