@@ -10,6 +10,8 @@ and then compared in full.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textkit import LOWER, annotate, covered, raw, transform_texts
+from palimpsest.llm.textkit import LOWER, annotate, covered, materialise, raw, transform_texts
 
 #: Lower case; what isn't a digit, a letter or beyond ASCII becomes a space.
 _FOLD = LOWER.copy()
@@ -83,10 +85,10 @@ def build(items: list[tuple[str, str]], size: int) -> list[WuManber]:
 
 
 def hits_kernel(blocks, size: int):
-    """blocks: broadcasts of lists of items. Tables of a few blocks are kept; more are made anew for each slice of texts."""
+    """blocks: broadcasts of lists of items, few enough that a task holds the tables of all."""
 
     def make():
-        kept = [(b.value, build(b.value, size)) for b in blocks] if len(blocks) <= 4 else None
+        kept = [(b.value, build(b.value, size)) for b in blocks]
 
         def kernel(column: pa.Array) -> list:
             data, offsets = raw(column)
@@ -95,7 +97,7 @@ def hits_kernel(blocks, size: int):
             every: dict[int, list] = {}
             owned: dict[int, set] = {}
             counts = [0] * len(column)
-            for items, tables in kept if kept is not None else ((b.value, build(b.value, size)) for b in blocks):
+            for items, tables in kept:
                 for i in range(len(column)):
                     words = folded[at[i] : at[i + 1]].split()
                     counts[i] = len(words)
@@ -132,22 +134,80 @@ def hits_kernel(blocks, size: int):
 FIELDS = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("hit_from", "array<bigint>"), ("hit_to", "array<bigint>")]
 
 
-def item_blocks(items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The test items in blocks of bounded size, for one broadcast each.
+#: Blocks of items whose tables a task holds at once.
+BLOCKS = 4
 
-    Items without a word have no window and are left out. The blocks are streamed to the driver one
-    partition at a time; a test set is small beside the corpus, and each block's size is bounded.
+
+def item_groups(items: DataFrame, item_key: str, item_text: str, block_bytes: int) -> Iterator[list[list[tuple[str, str]]]]:
+    """The test items in groups of at most BLOCKS blocks of bounded size, for one broadcast each.
+
+    Items without a word have no window and are left out. Items are streamed to the driver one
+    partition at a time, and one group is held there at once, however large the test set is.
     """
     rows = items.select(F.col(f"`{item_key}`").cast("string").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t")).where("k is not null and t is not null")
-    out: list[list[tuple[str, str]]] = [[]]
+    group: list[list[tuple[str, str]]] = [[]]
     size = 0
     for k, t in rows.toLocalIterator():
         if size and size + len(t) > block_bytes:
-            out.append([])
+            if len(group) == BLOCKS:
+                yield group
+                group = []
+            group.append([])
             size = 0
-        out[-1].append((k, t))
+        group[-1].append((k, t))
         size += len(t)
-    return out
+    yield group
+
+
+def in_one_pass(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, block_bytes: int):
+    """The broadcasts of the only group of items, or None and all groups where there are more."""
+    groups = item_groups(items, item_key, item_text, block_bytes)
+    first, second = next(groups), next(groups, None)
+    context = docs.sparkSession.sparkContext
+    if second is None:
+        return [context.broadcast(b) for b in first], None
+    return None, chain([first, second], groups)
+
+
+def in_passes(docs: DataFrame, keys: list[str], text: str, groups, window: int) -> DataFrame:
+    """As annotate() with the fields of hits_kernel(), a pass over the texts for each group of items; only rows with hits are then gathered, by the text's hash.
+
+    Equal texts have equal hits, so a text's hash and length stand for it.
+    """
+    context = docs.sparkSession.sparkContext
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    marked = docs.select(*[F.col(f"`{k}`") for k in keys], F.sha2(body, 256).alias("\x01h"), body.alias("\x01t"))
+    found = None
+    for group in groups:
+        blocks = [context.broadcast(b) for b in group]
+        made = materialise(annotate(marked, ["\x01h"], "\x01t", hits_kernel(blocks, window), FIELDS).where("size(items) > 0").dropDuplicates(["\x01h"]), "hits")
+        found = made if found is None else found.unionByName(made)
+        for b in blocks:
+            b.unpersist()
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))))
+    every = found.groupBy("\x01h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("s"))
+    # Spans that touch or overlap become one.
+    start = F.lit(None).cast("struct<done: array<struct<hit_from: bigint, hit_to: bigint>>, now: struct<hit_from: bigint, hit_to: bigint>>")
+
+    def step(state, x):
+        now = state["now"]
+        apart = F.struct(F.concat(state["done"], F.array(now)).alias("done"), x.alias("now"))
+        longer = F.struct(now["hit_from"].alias("hit_from"), F.greatest(now["hit_to"], x["hit_to"]).alias("hit_to"))
+        fresh = F.struct(F.array().cast("array<struct<hit_from: bigint, hit_to: bigint>>").alias("done"), x.alias("now"))
+        return F.when(state.isNull(), fresh).when(x["hit_from"] > now["hit_to"], apart).otherwise(F.struct(state["done"].alias("done"), longer.alias("now")))
+
+    merged = F.aggregate("s", start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    every = every.select("\x01h", "items", merged.alias("m"))
+    count = annotate(marked, [*keys, "\x01h"], "\x01t", words_kernel, [("n_words", "bigint")])
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    joined = count.join(every, "\x01h", "left")
+    part = lambda name: F.coalesce(F.transform("m", lambda x: x[name]), none("bigint")).alias(name)
+    hit = F.aggregate(F.coalesce(F.transform("m", lambda x: x["hit_to"] - x["hit_from"]), none("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return joined.select(*[F.col(f"`{k}`") for k in keys], "n_words", hit.alias("n_hit"), F.coalesce("items", none("string")).alias("items"), part("hit_from"), part("hit_to"))
+
+
+def words_kernel():
+    return lambda column: [pa.array([len(words_of(t)) for t in column.to_pylist()], pa.int64())]
 
 
 def contamination(
@@ -158,11 +218,12 @@ def contamination(
 
     Words are maximal runs of digits, letters and characters beyond ASCII, A-Z in lower case. Test
     items come in blocks of at most block_bytes (a longer item is a block), each a broadcast of its
-    own; a task holds the tables of few blocks at a time and joins the spans of all. Null texts have no words; repeated items own the same windows;
-    an empty test set hits nothing.
+    own; BLOCKS of them are searched in one pass over the texts, more in further passes. Null texts have no words, empty ones neither; repeated items own the same windows, repeated rows have equal hits;
+    an empty test set hits nothing, an empty table gives no rows. Other columns aren't read.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in item_blocks(items, item_key, item_text, block_bytes)]
+    blocks, groups = in_one_pass(docs, items, item_key, item_text, block_bytes)
+    if groups is not None:
+        return in_passes(docs, [key], text, groups, window)
     return annotate(docs, [key], text, hits_kernel(blocks, window), FIELDS)
 
 
@@ -170,9 +231,16 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 8, most_items: int = 0,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """The rows of docs, all columns, in which windows of at most most_items items occur."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in item_blocks(items, item_key, item_text, block_bytes)]
+    """The rows of docs, all columns, in which windows of at most most_items items occur (0: none).
+
+    Eight words in a row that a test item has are the rule's whole evidence, however long the text is. Null and empty texts stay, repeated rows stay or go together; an
+    empty test set drops nothing.
+    """
+    blocks, groups = in_one_pass(docs, items, item_key, item_text, block_bytes)
+    if groups is not None:
+        marked = docs.withColumn("\x01d", F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+        bad = in_passes(marked, ["\x01d"], text, groups, window).where(F.size("items") > most_items).select("\x01d").distinct()
+        return marked.join(bad, "\x01d", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
     def make():
         kernel = hits_kernel(blocks, window)()
