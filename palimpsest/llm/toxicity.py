@@ -29,30 +29,28 @@ from palimpsest.llm.textkit import ASCII_SPACE, LOWER, Words, annotate, raw, tra
 WINDOW = 10
 STRIDE = 5
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
+_GAPPED, _MARKS = re.compile(r"[^\W_](?:[\W_]+[^\W_]){2,}"), re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 class Alphabet:
-    """Letters with numbers, a word's two ends among them; accents are kept, letters that training saw seldom share number 0."""
+    """Letters with numbers, a word's two ends among them; accents are kept, letters that training saw seldom share number 0, of whatever script."""
 
     def __init__(self, letters: str):
         letters = "\x02\x03" + letters
         self.letters = letters
         self.size = len(letters) + 1
-        self.of = {c: i + 1 for i, c in enumerate(letters)}
+        order = np.argsort([ord(c) for c in letters])
+        self.points, self.numbers = np.array([ord(c) for c in letters], np.uint32)[order], (order + 1).astype(np.int16)
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The windows of the words as numbers padded by -1, and the word that each is of."""
         words = ["\x02" + w + "\x03" for w in words]
         flat = np.array([len(w) for w in words], np.int64)
         joined = "".join(words)
-        top = 0x3000
-        table = np.zeros(top, np.int16)
-        for c, i in self.of.items():
-            if ord(c) < top:
-                table[ord(c)] = i
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        numbers = np.where(points < top, table[np.minimum(points, top - 1)], 0).astype(np.int16)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        numbers = np.where(self.points[at] == points, self.numbers[at], 0).astype(np.int16)
         begin = np.cumsum(flat) - flat
         count = np.maximum(1, -(-(flat - WINDOW) // STRIDE) + 1)
         owner = np.repeat(np.arange(len(words)), count)
@@ -171,6 +169,10 @@ def text_values(model: SubsequenceModel, column: pa.Array) -> np.ndarray:
     """Each text's largest value over its words; a text without any has the smallest value."""
     words, distinct, spelled = batch_words(column)
     known = model.words(distinct)
+    # Letters with marks between all of them are longer than a window: they count as the word that they spell, too.
+    gapped = [i for i, w in enumerate(distinct) if _GAPPED.fullmatch(w)]
+    if gapped:
+        known[gapped] = np.maximum(known[gapped], model.words([_MARKS.sub("", distinct[i]) for i in gapped]))
     out = np.full(len(column), model.bias - 9)
     if len(words):
         each = known[words.codes]
@@ -352,7 +354,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: SubsequenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and score (0 to 1) of every row. A null or empty text gets the lowest score; repeated rows get equal ones."""
+    """Key and score (0 to 1) of every row. A null or empty text gets the lowest score, a long one is scored as a whole; repeated rows get equal ones, an empty table
+    gives none, and other columns aren't read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -363,7 +366,7 @@ def score(docs: DataFrame, model: SubsequenceModel, key: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, model: SubsequenceModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns, whose text scores below the threshold. Null and empty texts stay, repeated rows stay or go together, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

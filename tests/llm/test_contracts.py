@@ -90,7 +90,8 @@ def test_op4_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
     held = [(labels[d], r.predicted) for d, r in got.items() if r.held_out and d in labels]
-    assert np.mean([a == b for a, b in held]) >= 0.88
+    caught, flagged = [b for a, b in held if a == 1], [b for a, b in held if a == 0]
+    assert np.mean([a == b for a, b in held]) >= 0.88 and np.mean(caught) >= 0.7 and np.mean(flagged) <= 0.05
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
@@ -106,10 +107,77 @@ def test_op4_gaps(spark):
     assert np.mean([v.max() for v in p.values()]) > 10 * clean.max() or min(v.max() for v in p.values()) > clean.max()
     import pyarrow as pa
 
+    whole = lambda text: model.probability(toxicity.text_values(model, pa.array([text])))[0]
+    assert all(whole(f"you {mark.join(w)}, really") >= 0.7 for w in known for mark in ".-*_ ")  # all letters apart
+    assert np.mean([whole(f"you {w[:3]}{mark}{w[3:]}!") >= 0.7 for w in known for mark in ".-*"]) >= 0.9
+    assert max(whole(x) for x in ("a-b-c", "U.S.A. and the U.K.", "e.g. i.e. 1.2.3.4")) < 0.7
     spaced = toxicity.text_values(model, pa.array([" ".join(known[0]), "a b", "", "\n"]))
     assert spaced[0] > spaced[1] >= spaced[2] == spaced[3]
 
 
+def test_op4_kernel():
+    """Norms, explicit images and the table's scores against sums over all triples of places."""
+    from itertools import combinations
+
+    from palimpsest.llm import toxicity
+
+    rng, decay = np.random.default_rng(8), 0.5
+    alphabet = toxicity.Alphabet("abcd漢字")
+
+    def image(row):
+        out = Counter()
+        own = [x for x in row if x >= 0]
+        for i, j, k in combinations(range(len(own)), 3):
+            out[own[i], own[j], own[k]] += decay ** (k - i - 2)
+        return out
+
+    words = ["".join(rng.choice(list("abcd漢字x"), n)) for n in (1, 2, 4, 7, 8, 8, 12)]
+    rows, owner = alphabet.rows(words)
+    assert len({tuple(r) for r in alphabet.rows(["漢", "字", "x", "y"])[0]}) == 3 and owner[-1] == 6
+    size = alphabet.size
+    table = rng.normal(size=size**3).astype(np.float32)
+    model = toxicity.SubsequenceModel(alphabet, decay, table, 0.25)
+    r, c, v = toxicity.explicit(rows, size, decay)
+    for n, row in enumerate(rows):
+        want = image(row)
+        got = {(x // size**2, x // size % size, x % size): w for x, w in zip(c[r == n].tolist(), v[r == n].tolist(), strict=True)}
+        assert got.keys() == {tuple(map(int, k)) for k in want} and all(abs(got[tuple(map(int, k))] - w) < 1e-9 for k, w in want.items())
+        norm = sum(w * w for w in want.values()) ** 0.5
+        assert abs(toxicity.norms(rows[n : n + 1], decay)[0] - norm) < 1e-4 * max(1, norm)
+        if norm:
+            score = sum(w * table[(int(k[0]) * size + int(k[1])) * size + int(k[2])] for k, w in want.items()) / norm + 0.25
+            assert abs(model.score_windows(rows[n : n + 1])[0] - score) < 1e-3
+
+
+def test_op5_brute_force(spark):
+    """Over a whole table: every run of 50 words with an earlier place goes in whole, and only lines in runs of 25 words with an earlier place go."""
+    from palimpsest.llm import linededup
+
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = sorted((r.doc_id, r.text) for r in table.collect() if r.text is not None)
+    gone = defaultdict(set)
+    for r in linededup.repeated_runs(table).collect():
+        gone[r.k] |= set(range(r.first, r.end))
+    got, met, must, may, some = rows(q.op5_line_dedup(spark, sf)), {}, defaultdict(set), defaultdict(set), 0
+    for d, text in docs:
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        n = [len(WORD.findall(x)) for x in lines]
+        for least, out, step in ((25, may, 1), (25, may, -1), (50, must, 1)):  # shortest runs from each line on, and up to each line
+            for at in range(len(lines)):
+                a, b = at, at + 1
+                while sum(n[a:b]) < least and (b < len(lines) if step > 0 else a > 0):
+                    a, b = (a, b + 1) if step > 0 else (a - 1, b)
+                if sum(n[a:b]) >= least and met.setdefault((least, step, hash(tuple(lines[a:b]))), (d, at)) != (d, at):
+                    out[d] |= set(range(a, b))
+    for d, text in docs:
+        assert must[d] <= gone[d] <= may[d], d
+        left, removed = linededup.without_lines(text, [(i, i + 1) for i in gone[d]])
+        assert (got[d].n_removed, got[d].chars_left, got[d].text_sha256) == (removed, len(left), sha(left))
+        some += removed
+    assert some and len(got) == table.count()
+
+
 def test_op7_brute_force(spark, small, docs):
     got = rows(q.op7_simhash(spark, small))
     fps = {}
@@ -200,6 +268,57 @@ def test_op10_base(spark):
     assert some
 
 
+def test_op10_spans_are_brute_force(spark):
+    """Token spans of a whole table: what the operator finds is what the rule says of every candidate, judged one by one in plain Python."""
+    import public_tokenizers
+
+    from palimpsest.llm import secret_scan as s
+
+    sf = "/root/testdata/sf0.01"
+    with open(q.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = s.load_encoder(f.read(), public_tokenizers.PATTERN)
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    got, some = rows(q.op10_secrets(spark, sf)), 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text, want, i = r.text or "", [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in run:
+                j += 1
+            if j - i >= 16:
+                end = j
+                while end < len(text) and end - j < 2 and text[end] == "=":
+                    end += 1
+                end = end if end == len(text) or text[end] not in run else j
+                word = text[i:end]
+                whole = sum(c.isalpha() for c in word) and len(word) <= 2.2 * len(encode(word))
+                known = re.fullmatch("[0-9a-f]+|[0-9A-F]+", word) and len(word) in s.DIGEST_LENGTHS or s.UUID.fullmatch(word)
+                parts = [p for p in re.split("[^A-Za-z0-9]+", word) if p]
+                if whole and not known and not all(s._recognised(p, encode) for p in parts):
+                    want.append((i, end))
+            i = max(j, i + 1)
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[r.doc_id].spans.split(",") if x.startswith("token:")]
+        assert set(want) <= set(found), (r.doc_id, want, found)
+        assert all(any(text[a:b] in text[c:d] for c, d in [(a, b)]) and len(text[a:b]) <= 2.2 * len(encode(text[a:b])) for a, b in found)
+        some += len(found)
+    assert some
+
+
+def test_op10_long_runs_end():
+    import time
+
+    import public_tokenizers
+
+    from palimpsest.llm import secret_scan as s
+
+    with open(q.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = s.load_encoder(f.read(), public_tokenizers.PATTERN)
+    began = time.time()
+    for text in ("q" * 10_000 + "1a", "aB" * 5_000 + "1a", "ab" * 5_000 + "_" + "Qx9" * 3_000, "a" * 200_000):
+        s.token_spans(text, encode, 2.2)
+    assert time.time() - began < 20
+
+
 def test_op10_tokens(spark):
     import public_tokenizers
 

@@ -48,14 +48,24 @@ def test_blocks_of_items(spark, odd):
     items = spark.createDataFrame([(str(i), f"w{i}x0 w{i}x1 w{i}x2 w{i}x3 w{i}x4 w{i}x5 w{i}x6 w{i}x7") for i in range(4)] * 2, "item_id string, text string")
     one, many = (sorted(map(str, wumanber.contamination(odd, items, block_bytes=b).collect())) for b in (1 << 20, 10))
     assert one == many
+    one, many = (sorted(map(str, wumanber.drop_contaminated(odd, items, block_bytes=b).select("doc_id", "text", "k", "h").collect())) for b in (1 << 20, 10))
+    assert one == many and len(one) == 8 and wumanber.drop_contaminated(odd, items.limit(0)).count() == 10
 
 
-def test_id_store(spark, odd):
+def test_id_store(spark, odd, monkeypatch):
     store = idstore.write_store(odd, idstore.new_root(spark), queries.vocabulary("byte_bpe_50k.json"))
     got = idstore.lookup(odd, store).collect()
     assert len(got) == 10 and sum(r.doc_id is None for r in got) == 2 and min(r.start for r in got) == 0
     assert sorted(r.start for r in got) == np.cumsum([0, *[r.n for r in sorted(got, key=lambda r: r.start)]])[:-1].tolist()
     assert idstore.lookup(spark.createDataFrame([(99,)], "doc_id bigint"), store).count() == 0
+    few = spark.createDataFrame([(k,) for k in (6, 7, None, 99)], "doc_id bigint")
+    monkeypatch.setattr(idstore, "FEW", 0)
+    whole = sorted(map(str, idstore.lookup(few, store).collect()))
+    monkeypatch.setattr(idstore, "FEW", 1 << 40)
+    assert len(whole) == 4 and sorted(map(str, idstore.lookup(few, store).collect())) == whole
+    want = {r.doc_id: r for r in idstore.lookup(few, store).collect()}
+    bucket = few.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(store["buckets"])).alias("b")).where("doc_id = 6").first().b
+    assert [x.tobytes() for x in idstore.read_one(store, 6, bucket)] == [bytes(want[6].ids)] and idstore.read_one(store, 99, bucket) == []
     nothing = idstore.write_store(odd.limit(0), idstore.new_root(spark), queries.vocabulary("byte_bpe_50k.json"))
     assert idstore.lookup(odd, nothing).count() == 0
 
@@ -74,6 +84,15 @@ def test_line_dedup(spark, odd):
     assert linededup.drop_repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_deals_hot_fingerprints_out(spark, monkeypatch):
+    """A passage that nearly all texts share is taken out of all but the first, however its places are dealt out."""
+    docs = spark.createDataFrame([(i, f"own line {i}\n{PASSAGE}\nend {i}") for i in range(60)], "doc_id bigint, text string")
+    want = [(i, f"own line {i}\n{PASSAGE}\nend {i}" if not i else f"own line {i}\nend {i}") for i in range(60)]
+    for share in (7, 4096):
+        monkeypatch.setattr(linededup, "SHARE", share)
+        assert sorted((r.doc_id, r.text) for r in linededup.drop_repeated_lines(docs).collect()) == want
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -212,6 +231,11 @@ def test_packages(spark, tmp_path):
     got = [(r.page_id, r.record_type, r.refers_to) for r in zipwarc.read_packages(zipwarc.write_packages(pages, root, package_bytes=500), root).collect()]
     want = [(1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (None, "revisit", 3), (None, "response", None), (4, "response", None)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    clash = pages.select("*", *[F.lit("x").alias(c) for c in ("payload", "record_type", "path", "key", "last", "refers_to", "payload_digest")])
+    root = zipwarc.new_root(spark)
+    packages = zipwarc.write_packages(clash, root)
+    for size in (1, 8 << 20):  # runs of one record, and of all
+        assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in zipwarc.read_packages(packages, root, run_bytes=size).collect()) == sorted(map(str, want))
     root = zipwarc.new_root(spark)
     assert zipwarc.read_packages(zipwarc.write_packages(pages.limit(0), root), root).count() == 0
     path = tmp_path / "big.zip"
@@ -281,6 +305,18 @@ def test_pipeline(spark, small):
         assert stage(spark, docs.limit(0), small).count() == 0
 
 
+def test_stages_on_odd_documents(spark, small, odd):
+    """Each stage alone on nulls, empty and long texts, repeated rows and columns with clashing names."""
+    extra = odd.withColumns({"n_chars": F.length("text").cast("bigint"), "runs": F.lit("r"), "size": F.lit(1), "c": F.lit(2), "part": F.lit(3), "content": F.lit("t"), "least": F.lit("l"), "items": F.lit(None).cast("string")})
+    left = dict.fromkeys(("toxicity", "line_dedup", "decontamination"), 10) | {"near_dedup": 5, "bpe": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = extra.drop("ids") if name == "bpe" else extra
+        made = stage(spark, docs, small)
+        assert made.count() == left[name], name
+        if name != "bpe":
+            assert made.columns == docs.columns and {r.runs for r in made.collect()} == {"r"}
+
+
 def test_keep_one_in_a_family(spark):
     # Texts that resemble each other at about 0.7, so that most candidates fail; pairs of them at 0.83.
     rng = np.random.default_rng(11)
