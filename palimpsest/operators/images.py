@@ -517,8 +517,7 @@ def volumes_of(contents: DataFrame, path: str, name: str, data: str, flags: int
         payload = 488 if flags % 2 == 0 else 512
         need = sum(2 + -(-len(x) // payload) * 73 // 72 for x in group["data"])
         e = edit.Editor(edit.blank(max(1760, need * 9 // 8 + 64), "Built", flags), judged=False)
-        for n, x in zip(group["name"], group["data"], strict=True):
-            e.add_file(n, bytes(x))
+        e.add_files([(n, bytes(x)) for n, x in zip(group["name"], group["data"], strict=True)])
         return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [bytes(e.data)]})
 
     return rows.groupBy("path").applyInPandas(build, StructType([rows.schema["path"], *schema_of("content binary").fields]))

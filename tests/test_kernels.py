@@ -152,6 +152,11 @@ def test_changes(flags):
     e.rename("a.txt", "b.txt")
     e.move("b.txt", "docs")
     assert e.deletion_order("docs")[-1] == "docs" and not codes(bytes(e.data))
+    names = e.add_files([(f"many{i}", BIG[: i * 100]) for i in range(60)])
+    assert len(set(names)) == 60 and e.volume.read(e.volume.lookup("many59")[0]).data == BIG[:5900] and not codes(bytes(e.data))
+    with pytest.raises(edit.Refused):
+        e.add_files([("one", b""), ("ONE", b"")])
+    e.undo()
     e.delete_tree("docs")
     assert e.wipe(slack=False) > 100 and not e.volume.walk().entries and not codes(bytes(e.data))
 
