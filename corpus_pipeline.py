@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage's result is written to the shared folder and read by the next one."""
+"""A corpus pipeline: each stage's result is written to the shared folder and read by the next one.
+
+Every stage takes all columns that documents has, whatever their names, and all but the last return them. Nulls: a null text counts as an empty one, stays null
+and is a copy of other texts without words; a null doc_id comes after all others, and such rows are told apart by their texts; lang, source and n_chars are only carried.
+Empty and very long texts are taken as a whole. Of ties the smallest doc_id, then the text's hash decides. Repeated rows are one document: the near dedup
+keeps one of them. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold windows of two benchmark items or more, or of one with many of its words."""
+    """Drops documents that hold a window of eight words of any benchmark item."""
     return wumanber.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
