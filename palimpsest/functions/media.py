@@ -635,6 +635,67 @@ def program(name: str, d: bytes) -> Decoded:
     return out
 
 
+def _pointer(h: Hunk, at: int) -> int | None:
+    """Where a relocated long within the first hunk points, in the same hunk."""
+    return u32(h.data, at) if at in h.relocations.get(0, ()) and u32(h.data, at) < len(h.data) else None
+
+
+def _first_hunk(d: bytes) -> Hunk | None:
+    found = hunks(d)[0] if u32(d, 0) == 0x3F3 else []
+    return found[0] if found and found[0].data else None
+
+
+#: Places of a key map's eight tables, behind its node; bits of a key's type (fixed values).
+KEY_TABLES, KEY_BITS = [14 + 4 * i for i in range(8)], {1: "shift", 2: "alt", 4: "control", 8: "down and up", 32: "dead", 64: "string", 128: "none"}
+
+
+def is_keymap(name: str, d: bytes) -> bool:
+    h = _first_hunk(d)
+    return h is not None and all(_pointer(h, at) is not None for at in (10, *KEY_TABLES))
+
+
+def keymap(name: str, d: bytes) -> Decoded:
+    """The letters of each key: alone and with shift where its type takes that; dead keys and strings by name."""
+    h, out = _first_hunk(d), Decoded("keymap")
+    out.put("keymap", "name", text(h.data[_pointer(h, 10) :]))
+    count: dict[str, int] = {}
+    for first, types, table, keys in ((0, KEY_TABLES[0], KEY_TABLES[1], 64), (64, KEY_TABLES[4], KEY_TABLES[5], 56)):
+        t, m = _pointer(h, types), _pointer(h, table)
+        for i in range(keys):
+            if t + i >= len(h.data) or m + 4 * i + 4 > len(h.data):
+                out.fault(f"the table ends before key {first + i:#04x}")
+                break
+            kind, four = h.data[t + i], h.data[m + 4 * i : m + 4 * i + 4]
+            names = [n for bit, n in KEY_BITS.items() if kind & bit]
+            for n in names or ["plain"]:
+                count[n] = count.get(n, 0) + 1
+            if not kind & 0xE0 and any(four):
+                shown = [bytes([four[3 - k]]).decode("latin-1") for k in (0, 1) if k == 0 or kind & 1]
+                out.put("keys", f"{first + i:02X}", " ".join(c if c.isprintable() else f"<{ord(c)}>" for c in shown))
+    for n, k in sorted(count.items()):
+        out.put("types", n, k)
+    return out
+
+
+#: Places of a printer driver's pointers: name, start, end, opening, closing (fixed values).
+PRINTER = (8, 12, 16, 20, 24)
+
+
+def is_printer(name: str, d: bytes) -> bool:
+    h = _first_hunk(d)
+    return h is not None and all(any(at in places for places in h.relocations.values()) for at in PRINTER)
+
+
+def printer(name: str, d: bytes) -> Decoded:
+    h, out = _first_hunk(d), Decoded("printer driver")
+    if _pointer(h, 8) is not None:
+        out.put("printer", "name", text(h.data[_pointer(h, 8) :]))
+    x = h.data
+    for k, v in (("version", f"{u16(x, 4)}.{u16(x, 6)}"), ("class", x[28]), ("colours", x[29]), ("columns", x[30]), ("character sets", x[31]), ("rows", u16(x, 32)), ("dots across", u32(x, 34)), ("dots down", u32(x, 38)), ("dots an inch across", u16(x, 42)), ("dots an inch down", u16(x, 44)), ("seconds to wait", u32(x, 58))):
+        out.put("printer", k, v)
+    return out
+
+
 # Dispatch: kinds in the order they are tried
 
 KINDS: list[tuple[str, Callable[[str, bytes], bool], Callable[[str, bytes], Decoded]]] = [
@@ -650,6 +711,8 @@ KINDS: list[tuple[str, Callable[[str, bytes], bool], Callable[[str, bytes], Deco
     ("font", lambda n, d: u32(d, 0) == 0x3F3 and b"\x70\xff\x4e\x75" in d[:64] and b"\x0f\x80" in d[:128], font),
     ("font contents", lambda n, d: len(d) >= 4 and u16(d, 0) in (0x0F00, 0x0F02) and len(d) >= 4 + 260 * max(1, u16(d, 2)), font_contents),
     ("module", lambda n, d: len(d) >= 1084 and d[1080:1084] in (b"M.K.", b"M!K!", b"FLT4"), module),
+    ("keymap", is_keymap, keymap),
+    ("printer driver", is_printer, printer),
     ("program", lambda n, d: u32(d, 0) == 0x3F3, program),
     ("preferences", lambda n, d: len(d) == 232 and n.rpartition("/")[2].lower() == "system-configuration", preferences),
 ]

@@ -200,6 +200,38 @@ def variables(refs: DataFrame, code: DataFrame) -> DataFrame:
     return joined.groupBy(*KEYS, F.col("to_hunk").alias("hunk"), F.col("to").alias("at")).agg(F.count("*").alias("references"), F.count_distinct("hunk", "at").alias("origins"), widths.alias("widths"))
 
 
+def boot_code(images: DataFrame) -> DataFrame:
+    """The code of images' boot blocks as (path, entry, data), for instructions(raw=True); none where all of it is zero. JVM only."""
+    code = F.substring("content", 13, 1012)
+    return images.where(F.octet_length("content") >= 1024).select("path", F.lit("boot block").alias("entry"), code.alias("data")).where(F.regexp_like(F.hex("data"), F.lit("[^0]")))
+
+
+def explained(code: DataFrame) -> DataFrame:
+    """Instructions with what they do in words."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def words(name: pd.Series, operands: pd.Series, flow: pd.Series) -> pd.Series:
+        return pd.Series([m68k.explain(m68k.Instruction(0, 0, n, o, f, None)) for n, o, f in zip(name, operands, flow, strict=True)], dtype=object)
+
+    return code.withColumn("meaning", words("name", "operands", "flow"))
+
+
+def drawn(graph: DataFrame) -> DataFrame:
+    """Each program's call graph laid out: label, layer, place in the layer. A graph is drawn in one task, as a picture of it is looked at as one."""
+    import pandas as pd
+
+    from palimpsest.functions import graphs
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        edges = list(zip(rows["caller"], rows["callee"], strict=True))
+        own = graphs.order([e for e in edges if None not in e], [])
+        flat = [(rows["path"].iloc[0], rows["entry"].iloc[0], n, i, k) for i, row in enumerate(own) for k, n in enumerate(row)]
+        return pd.DataFrame(flat, columns=["path", "entry", "label", "layer", "place"])
+
+    return graph.groupBy(*KEYS).applyInPandas(draw, "path string, entry string, label string, layer int, place int")
+
+
 # Notes on a program
 
 
@@ -232,3 +264,12 @@ def annotate(notes: DataFrame, changes: DataFrame) -> DataFrame:
 def with_notes(code: DataFrame, notes: DataFrame, sha1: str = "sha1") -> DataFrame:
     """Instructions (with their program's sha1) and what is noted about their places."""
     return code.join(notes.withColumnRenamed("sha1", sha1), [sha1, "hunk", "at"], "left")
+
+
+def save_notes(notes: DataFrame, root: str) -> None:
+    """Writes the notes of the programs named in them; other programs' notes at root stay."""
+    notes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha1").parquet(root)
+
+
+def load_notes(spark, root: str) -> DataFrame:
+    return spark.read.schema("hunk int, at bigint, label string, comment string, sha1 string").parquet(root).select("sha1", "hunk", "at", "label", "comment")

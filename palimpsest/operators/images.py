@@ -265,6 +265,11 @@ def check(images: DataFrame) -> DataFrame:
     return per_image(images, one, f"partition string, first_block bigint, kind string, directories bigint, files bigint, bytes_recovered bigint, bitmap struct<{counts}>, dircache struct<{cache}>, info int, warning int, error int, worst string, sound boolean")
 
 
+def block_counts(checked: DataFrame) -> DataFrame:
+    """Of each image's volumes together: blocks that bitmaps cover, and those in use."""
+    return checked.groupBy("path").agg(F.sum("bitmap.covered").alias("covered"), F.sum("bitmap.marked_used").alias("used"))
+
+
 def damage(images: DataFrame) -> DataFrame:
     """The gravest damage of each block of an image, numbered from its beginning."""
 

@@ -38,6 +38,25 @@ def test_decoding():
         assert sum(x.size for x in listing) == 4000 and [x.at for x in listing[1:]] == [x.at + x.size for x in listing[:-1]]
 
 
+def test_words_for_instructions():
+    words = lambda h: m68k.explain(m68k.decode(bytes.fromhex(h)))
+    assert words("303c1234") == "copy #$1234 to d0 (a word)" and words("66fe") == "go to $0 if not equal" and words("e588") == "shift d0 left by #2 (a long word)"
+    assert words("51c8fffe") == "count d0 down and go to $0 until it is -1" and words("4eaefe3a") == "call -454(a6)" and words("57c0") == "set d0 to all ones if equal, else to zero"
+    assert words("30301002") == "copy 2(a0,d1.w) to d0 (a word)" and words("ffff") == "data $ffff"
+    for op in range(0, 65536, 7):
+        m68k.explain(m68k.decode(op.to_bytes(2, "big") + bytes(8)))
+
+
+def test_graph_order():
+    from palimpsest.functions import graphs
+
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "c"), ("b", "d")]
+    assert graphs.back_edges(edges, ["a"]) == {("c", "a"), ("c", "c")} and graphs.layers(edges, ["a"]) == {"a": 0, "b": 1, "c": 2, "d": 2}
+    assert graphs.order(edges, ["a"]) == [["a"], ["b"], ["c", "d"]] and graphs.order([], []) == []
+    deep = [(f"n{i:05}", f"n{i + 1:05}") for i in range(5000)]
+    assert graphs.layers(deep, ["n00000"])["n05000"] == 5000
+
+
 def test_programs(spark):
     files = spark.createDataFrame([("p", "prog", hunk_file(CODE, symbols=[(b"main", 0)])), ("p", "bad", b"nothing"), ("q", "prog", hunk_file(bytes.fromhex("20390000000041fa00024e75"), [(1, [2])], data=b"some words\0\0"))], "path string, entry string, data binary")
     code = C.instructions(files)
@@ -51,6 +70,10 @@ def test_programs(spark):
     assert '"main" -> "h0_000c";' in C.dot(graph).where("path = 'p'").first().dot
     edges = {(b.begin, b.end): [(e.kind, e.to) for e in b.edges] for b in C.blocks(files).where("path = 'p' and function = 0").collect()}
     assert edges == {(0, 6): [("taken", 10), ("not taken", 6)], (6, 10): [("next", 10)], (10, 12): []}
+    assert {(r.label, r.layer) for r in C.drawn(graph).collect()} == {("main", 0), ("h0_000c", 1), ("-454(a6)", 2)}
+    assert C.explained(code.where("path = 'p' and at = 10")).first().meaning == "return"
+    boots = spark.createDataFrame([("x", b"DOS\0" + bytes(8) + CODE + bytes(1100)), ("y", bytes(2000)), ("z", None)], "path string, content binary")
+    assert C.instructions(C.boot_code(boots), raw=True).where("name = 'rts'").count() == 2
     refs = C.references(files)
     assert {(r.path, r.at, r.to_hunk, r.to, r.kind) for r in refs.collect()} >= {("p", 0, 0, 12, "call"), ("p", 4, 0, 10, "branch"), ("q", 2, 1, 0, "relocation"), ("q", 6, 0, 10, "operand")}
     assert {(r.to, r.kind, r.references, r.more) for r in C.referred(refs).where("path = 'p'").collect()} == {(12, "call", 1, 0), (10, "branch", 1, 0)}
@@ -64,12 +87,16 @@ def test_programs(spark):
     assert {(r.hunk, r.at, r.references) for r in C.variables(refs, code).where("path = 'q'").collect()} >= {(1, 0, 1)}
 
 
-def test_notes(spark):
+def test_notes(spark, tmp_path):
     shape = "sha1 string, hunk int, at bigint, label string, comment string"
     notes = spark.createDataFrame([("s", 0, 0, "start", None), ("s", 0, 12, "old", "x")], shape)
     changes = spark.createDataFrame([("s", 0, 12, "print", None, 1), ("s", 0, 12, "1bad", None, 2), ("s", 0, 0, None, None, 3), ("s", 0, 4, None, "a branch", 4)], shape + ", seq int")
     after = C.annotate(notes, changes)
     assert {(r.at, r.label, r.comment) for r in after.collect()} == {(12, "print", None), (4, None, "a branch")}
+    root = str(tmp_path / "notes")
+    C.save_notes(after.unionByName(spark.createDataFrame([("t", 0, 0, "x", None)], shape)), root)
+    C.save_notes(spark.createDataFrame([("t", 1, 2, "y", None)], shape), root)
+    assert sorted((r.sha1, r.at, r.label) for r in C.load_notes(spark, root).where("label is not null").collect()) == [("s", 12, "print"), ("t", 2, "y")]
     code = spark.createDataFrame([("s", 0, 4), ("s", 0, 6)], "sha1 string, hunk int, at bigint")
     assert {(r.at, r.comment) for r in C.with_notes(code, after).collect()} == {(4, "a branch"), (6, None)}
     got = spark.createDataFrame([("h1_0042",), ("x",)], "t string").select(C.place(F.col("t")).alias("p")).collect()

@@ -98,3 +98,27 @@ def test_load_files():
     found, fault = m.hunks(d)
     assert fault is None and [(h.kind, h.size) for h in found] == [("code", 8), ("bss", 16)] and found[0].relocations == {1: [4]} and found[0].symbols == [("main", 4)]
     assert m.hunks(d[:30])[1] == "truncated" and m.hunks(b"abcd")[1] == "not a load file"
+
+
+def load_file(data, places):
+    return struct.pack(">IIIIII", 0x3F3, 0, 1, 0, 0, len(data) // 4) + struct.pack(">II", 0x3EA, len(data) // 4) + data + struct.pack(f">III{len(places)}I", 0x3EC, len(places), 0, *places) + bytes(4) + struct.pack(">I", 0x3F2)
+
+
+def test_drivers():
+    body = bytearray(700)
+    struct.pack_into(">I", body, 10, 600)
+    for i, at in enumerate((50, 120, 50, 50, 400, 460, 50, 50)):
+        struct.pack_into(">I", body, 14 + 4 * i, at)
+    body[50 : 50 + 64] = bytes([1]) * 2 + bytes([128]) * 62
+    body[120:128] = bytes([0, 0, ord("Q"), ord("q"), 0, 0, ord("!"), ord("1")])
+    body[600:605] = b"gb\0\0\0"
+    d = m.decode("keymaps/gb", load_file(bytes(body), [10, *range(14, 46, 4)]))
+    assert d.kind == "keymap" and fields(d)["keymap", "name"] == "gb" and fields(d)["keys", "00"] == "q Q" and fields(d)["types", "none"] == "62"
+    body = bytearray(120)
+    for at in (8, 12, 16, 20, 24):
+        struct.pack_into(">I", body, at, 100)
+    body[30], body[100:105] = 80, b"laser"
+    struct.pack_into(">HH", body, 42, 300, 300)
+    d = m.decode("printers/x", load_file(bytes(body), [8, 12, 16, 20, 24]))
+    assert d.kind == "printer driver" and fields(d)["printer", "name"] == "laser" and fields(d)["printer", "dots an inch down"] == "300"
+    assert m.decode("c/x", load_file(bytes(8), [])).kind == "program"
