@@ -6,6 +6,7 @@ other, to names and to places is joins, as-of lookups, islands and walks over th
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -208,7 +209,6 @@ def boot_code(images: DataFrame) -> DataFrame:
 
 def explained(code: DataFrame) -> DataFrame:
     """Instructions with what they do in words."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def words(name: pd.Series, operands: pd.Series, flow: pd.Series) -> pd.Series:
@@ -219,8 +219,6 @@ def explained(code: DataFrame) -> DataFrame:
 
 def drawn(graph: DataFrame) -> DataFrame:
     """Each program's call graph laid out: label, layer, place in the layer. A graph is drawn in one task, as a picture of it is looked at as one."""
-    import pandas as pd
-
     from palimpsest.functions import graphs
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
