@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 
 def identify(probes: DataFrame, dataset: DataFrame, key: str, strong: str, weak: list[str], name: str) -> DataFrame:
-    """Probes with class and first name: unknown, named, duplicated, collision, or unverified.
+    """Probes with class, candidates, those among them that have the probe's strong hash (n_equal) and the first name: unknown, named, duplicated, collision, or unverified.
 
     dataset entries are candidates where the weak columns agree. One is named, whatever its strong hash; of several, any without one leaves the probe
     unverified, else those with the probe's strong hash decide: none is a collision, one names it, more are duplicated.
@@ -23,7 +23,7 @@ def identify(probes: DataFrame, dataset: DataFrame, key: str, strong: str, weak:
     out = probes.select(key, strong, *weak).join(weakly, weak, "left").join(strongly, [*weak, strong], "left")
     n, equal = F.coalesce("n_candidates", F.lit(0)), F.coalesce("n_equal", F.lit(0))
     kind = F.when(n == 0, "unknown").when(n == 1, "named").when(F.col("n_strong") < n, "unverified").when(equal == 0, "collision").when(equal == 1, "named").otherwise("duplicated")
-    return out.select(key, *weak, kind.alias("class"), n.alias("n_candidates"), F.coalesce("equal_name", "any_name").alias("name"))
+    return out.select(key, *weak, kind.alias("class"), n.alias("n_candidates"), equal.alias("n_equal"), F.coalesce("equal_name", "any_name").alias("name"))
 
 
 def vote(ballots: DataFrame, unit: list[str], value: str, source: str) -> DataFrame:
