@@ -33,8 +33,52 @@ def schema_of(text: str) -> StructType:
     return T._parse_datatype_string(text)
 
 
-def per_image(images: DataFrame, kernel: Callable[[bytes], Iterable[tuple]], fields: str, also: list[str] = ()) -> DataFrame:
+class Made:
+    """Images that are made of rows by the task that reads them. Each is made and read on its own, so a task holds one at a time, whatever the
+    number of images, and none crosses from one process to another.
+
+    rows: a column path and what images are made of, gathered by path. make: a path's rows as an Arrow table to tuples of content and the values of fields.
+    """
+
+    def __init__(self, rows: DataFrame, make: Callable[[pa.Table], Iterable[tuple]], fields: StructType = StructType([])):  # noqa: B008
+        self.rows, self.make, self.fields = rows, make, fields
+
+    def then(self, kernel: Callable[[bytes], Iterable[tuple]], fields: str = "", also: list[str] = ()) -> Made:
+        """Images made of these: the kernel gives content and fields of each, from an image's bytes (and the `also` values)."""
+        make, given = self.make, [self.fields.names.index(c) for c in also]
+
+        def both(group: pa.Table):
+            for content, *values in make(group):
+                yield from kernel(content, *[values[i] for i in given])
+
+        return Made(self.rows, both, schema_of(fields) if fields else StructType([]))
+
+    def read(self, kernel: Callable[[bytes], Iterable[tuple]], fields: str, also: list[str] = ()) -> DataFrame:
+        make, given = self.make, [self.fields.names.index(c) for c in also]
+        schema = StructType([self.rows.schema["path"], *[self.fields[i] for i in given], *schema_of(fields).fields])
+        arrow = to_arrow_schema(schema)
+
+        def run(group: pa.Table) -> pa.Table:
+            path, out = group.column("path")[0].as_py(), []
+            for content, *values in make(group):
+                mine = [path, *[values[i] for i in given]]
+                out += [(*mine, *row) for row in kernel(b"" if content is None else content, *mine[1:])]
+            return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow) if out else arrow.empty_table()
+
+        return self.rows.groupBy("path").applyInArrow(run, schema)
+
+    def frame(self) -> DataFrame:
+        """The images as rows (path, content, fields)."""
+        names = self.fields.names
+        if not names:
+            return self.read(lambda content: [(content,)], "content binary")
+        return self.read(lambda content, *_: [(content,)], "content binary", names).select("path", "content", *names)
+
+
+def per_image(images: DataFrame | Made, kernel: Callable[[bytes], Iterable[tuple]], fields: str, also: list[str] = ()) -> DataFrame:
     """path, the `also` columns, and the fields of each tuple that the kernel gives for an image's bytes (and the `also` values)."""
+    if isinstance(images, Made):
+        return images.read(kernel, fields, also)
     source = images.select("path", F.coalesce("content", F.lit(b"")).alias("content"), *also)
     schema = StructType([f for f in source.schema.fields if f.name != "content"] + schema_of(fields).fields)
     arrow, n = to_arrow_schema(schema), 1 + len(also)
@@ -202,6 +246,24 @@ def files(images: DataFrame) -> DataFrame:
     return per_image(images, one, "partition string, seq bigint, entry string, data binary, declared_size bigint, short_by bigint, exceeded_volume boolean, faults array<struct<code: string, first_block: bigint, first_index: bigint, count: bigint>>, unreadable string")
 
 
+def file_totals(images: DataFrame | Made, also: list[str] = ()) -> DataFrame:
+    """One row an image: its files, their declared bytes (null: no files), and how many can't be read. The same as sums over files(), but no file's bytes leave the task."""
+
+    def one(content: bytes, *_):
+        n, declared, unreadable = 0, None, 0
+        for _, v in mounted(content):
+            for _, e in v.walk().entries:
+                if e.kind in FILES:
+                    try:
+                        size = v.read(e).declared
+                    except Unreadable:
+                        size, unreadable = e.size, unreadable + 1
+                    n, declared = n + 1, (declared or 0) + size
+        yield n, declared, unreadable
+
+    return per_image(images, one, "files bigint, bytes bigint, unreadable bigint", also)
+
+
 def file_blocks(images: DataFrame) -> DataFrame:
     """Each block of each file: header, data and list blocks, in the file's order."""
 
@@ -429,11 +491,11 @@ def surface(images: DataFrame) -> DataFrame:
 # Turning images into others
 
 
-def convert(images: DataFrame, target: str) -> DataFrame:
-    """Each image as the target container, only where nothing is lost: outcome (converted, lossy, not-implemented, refused, failed) and bytes."""
+def convert(images: DataFrame | Made, target: str) -> DataFrame | Made:
+    """Each image as the target container, only where nothing is lost: outcome (converted, lossy, not-implemented, refused, failed) and bytes (of images made where they are read: their content)."""
     from palimpsest.plans.formats import verdict_of
 
-    def one(content: bytes):
+    def one(content: bytes, *_):
         x = Image.open(content)
         source = "gzip" if x.compression else x.container
         outcome = verdict_of(source, target)
@@ -448,6 +510,8 @@ def convert(images: DataFrame, target: str) -> DataFrame:
         else:
             yield source, "converted", x.data
 
+    if isinstance(images, Made):
+        return images.then(lambda content: ((data, source, outcome) for source, outcome, data in one(content)), "source string, outcome string")
     return per_image(images, one, "source string, outcome string, data binary")
 
 
@@ -461,7 +525,7 @@ def as_extended(data: bytes) -> bytes:
 CHANGES = "array<struct<op: string, path: string, other: string, data: binary>>"
 
 
-def apply_changes(images: DataFrame, changes: str = "changes", judged: bool = True) -> DataFrame:
+def apply_changes(images: DataFrame | Made, changes: str = "changes", judged: bool = True) -> DataFrame | Made:
     """Each image after its row's changes, in order: content, how many were made, and why the first refused one was; a refusal ends the row's changes.
 
     changes: array of struct(op, path, other, data). op: mkdir, put (data), rm, rmtree, rename (other: name), mv (other: folder), link (other: target), undelete (path: block), repair,
@@ -498,6 +562,8 @@ def apply_changes(images: DataFrame, changes: str = "changes", judged: bool = Tr
             why = str(x) or type(x).__name__
         yield bytes(e.data) if e is not None else content, done, why
 
+    if isinstance(images, Made):
+        return images.then(one, "made int, refused string", [changes])
     return per_image(images, one, "content binary, made int, refused string", [changes]).drop(changes)
 
 
@@ -513,25 +579,33 @@ def volumes_of(contents: DataFrame, path: str, name: str, data: str, flags: int
 
     A path's files must fit a task's memory, as a volume does.
     """
-    import pandas as pd
+    return made_volumes(contents, path, name, data, flags).frame()
 
-    rows = contents.select(F.col(path).alias("path"), F.col(name).alias("name"), F.col(data).alias("data"))
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("name", kind="stable")
+def made_volumes(contents: DataFrame, path: str, name: str, data: str, flags: int = 0, gathered: str | None = None) -> Made:
+    """The volumes of volumes_of(), made where they are read. gathered: a column whose values each image has as an array of the same name, nulls left out, in the order of its files' names."""
+    rows = contents.select(F.col(path).alias("path"), F.col(name).alias("name"), F.col(data).alias("data"), *[gathered] if gathered else [])
+
+    def build(group: pa.Table):
+        names, contents = group.column("name").to_pylist(), group.column("data").to_pylist()
+        order = sorted(range(len(names)), key=lambda i: names[i])
         payload = 488 if flags % 2 == 0 else 512
-        need = sum(2 + -(-len(x) // payload) * 73 // 72 for x in group["data"])
+        need = sum(2 + -(-len(x) // payload) * 73 // 72 for x in contents)
         e = edit.Editor(edit.blank(max(1760, need * 9 // 8 + 64), "Built", flags), judged=False)
-        e.add_files([(n, bytes(x)) for n, x in zip(group["name"], group["data"], strict=True)])
-        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [bytes(e.data)]})
+        e.add_files([(names[i], contents[i]) for i in order])
+        if gathered:
+            values = group.column(gathered).to_pylist()
+            yield bytes(e.data), [values[i] for i in order if values[i] is not None]
+        else:
+            yield (bytes(e.data),)
 
-    return rows.groupBy("path").applyInPandas(build, StructType([rows.schema["path"], *schema_of("content binary").fields]))
+    return Made(rows, build, schema_of(f"{gathered} array<{rows.schema[gathered].dataType.simpleString()}>") if gathered else StructType([]))
 
 
 # Corpus
 
 
-def batch(images: DataFrame, dataset: DataFrame | None = None, target: str | None = None) -> DataFrame:
+def batch(images: DataFrame | Made, dataset: DataFrame | None = None, target: str | None = None) -> DataFrame:
     """One record an image: container, volume, tree, findings' codes, worst, conversion's outcome, sha1; names of the dataset's entries (name, crc, size, sha1) if given.
 
     A null content is unreadable, and a row all the same.
@@ -555,7 +629,10 @@ def batch(images: DataFrame, dataset: DataFrame | None = None, target: str | Non
             codes, worst, None, outcome, {"crc": zlib.crc32(plain), "size": len(plain)}, bool(names) and worst in (None, "info"),
         )
 
-    given = images.withColumn("_there", F.col("content").isNotNull())
+    if isinstance(images, Made):
+        given = images.then(lambda content: [(content, content is not None)], "_there boolean")
+    else:
+        given = images.withColumn("_there", F.col("content").isNotNull())
     made = per_image(given, one, "container string, size bigint, sha1 string, volume string, files bigint, directories bigint, bytes_recovered bigint, findings array<string>, worst string, unreadable string, conversion string, _key struct<crc: bigint, size: bigint>, sound boolean", ["_there"]).drop("_there")
     if dataset is not None:
         probes = made.select("path", F.col("_key.crc").alias("crc"), F.col("_key.size").alias("size"), "sha1").where("sha1 is not null")

@@ -24,10 +24,10 @@ v as (select path, count(*) as files, cast(sum(size) as bigint) as bytes, cast(s
     greatest(1760, cast(sum(2 + n * 73 // 72) as bigint) * 9 // 8 + 64) as total from b group by path)"""
 
 
-def volumes(spark, sf, flags: int = 0) -> DataFrame:
-    """(path, content) of volumes that hold the documents as files d<doc_id>."""
+def volumes(spark, sf, flags: int = 0) -> I.Made:
+    """Volumes that hold the documents as files d<doc_id>."""
     docs = T(spark, sf, "documents").select(F.concat(F.lit("vol-"), F.floor(F.col("doc_id") / 40).cast("string")).alias("path"), F.concat(F.lit("d"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    return I.volumes_of(docs, "path", "name", "data", flags)
+    return I.made_volumes(docs, "path", "name", "data", flags)
 
 
 @query(f"{FACTS} select path, entry, 'file' as kind, size, sha1(text) as sha1, '----rwed' as protection, true as checksum_valid, false as hit_limit from b")
@@ -55,13 +55,15 @@ def volume_layout(spark, sf):
     return I.layout_totals(I.layout(volumes(spark, sf))).where("region not in ('unclaimed', 'bitmap')")
 
 
-def _without_long(spark, sf, judged: bool, least: int = 2000) -> DataFrame:
+def _without_long(spark, sf, judged: bool, least: int = 2000) -> I.Made:
     """The volumes after the files of at least so many bytes were deleted."""
-    built = volumes(spark, sf)
-    docs = T(spark, sf, "documents").where(F.octet_length("text") >= least)
-    op = F.struct(F.lit("rm").alias("op"), F.concat(F.lit("d"), "doc_id").alias("path"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("binary").alias("data"))
-    gone = docs.groupBy(F.concat(F.lit("vol-"), F.floor(F.col("doc_id") / 40).cast("string")).alias("path")).agg(F.array_sort(F.collect_list(op)).alias("changes"))
-    return I.apply_changes(built.join(gone, "path", "left"), judged=judged)
+    name, none = F.concat(F.lit("d"), "doc_id"), F.lit(None)
+    op = F.struct(F.lit("rm").alias("op"), name.alias("path"), none.cast("string").alias("other"), none.cast("binary").alias("data"))
+    docs = T(spark, sf, "documents").select(
+        F.concat(F.lit("vol-"), F.floor(F.col("doc_id") / 40).cast("string")).alias("path"), name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("data"),
+        F.when(F.octet_length("text") >= least, op).alias("changes"),
+    )
+    return I.apply_changes(I.made_volumes(docs, "path", "name", "data", gathered="changes"), judged=judged)
 
 
 @query(f"{FACTS} select path, entry as name, size, 'self-evident' as evidence, n as data_blocks, sha1(text) as sha1 from b where size >= 2000")
@@ -74,9 +76,8 @@ def carve_deleted(spark, sf):
 @query(f"{FACTS} select path, count(*) filter (size < 2000) as files, count(*) filter (size >= 2000) as made, cast(null as varchar) as refused, cast(sum(size) filter (size < 2000) as bigint) as bytes from b group by path")
 def delete_files(spark, sf):
     """Changes of images, judged by the health rules, and what is left."""
-    after = _without_long(spark, sf, True)
-    left = I.files(after).groupBy("path").agg(F.count("*").alias("files"), F.sum("declared_size").alias("bytes"))
-    return after.select("path", "made", "refused").join(left, "path", "left").select("path", F.coalesce("files", F.lit(0)).alias("files"), F.col("made").cast("bigint").alias("made"), "refused", "bytes")
+    left = I.file_totals(_without_long(spark, sf, True), ["made", "refused"])
+    return left.select("path", "files", F.col("made").cast("bigint").alias("made"), "refused", "bytes")
 
 
 @query(f"{FACTS} select path, code, 'warning' as severity, count(*) as n from (select path, unnest(['data-block-structure', 'orphaned-blocks']) as code from v where blocks > files and files > 0) group by all")
@@ -102,22 +103,23 @@ def _damaged(spark, sf) -> DataFrame:
                 out[b * 512 : b * 512 + 512] = raw
         yield (bytes(out),)
 
-    built = volumes(spark, sf).withColumnRenamed("content", "c").select("path", F.col("c").alias("content"))
-    return I.findings(I.per_image(built, hurt, "hurt binary").select("path", F.col("hurt").alias("content")))
+    return I.findings(volumes(spark, sf).then(hurt))
+
+
+def _floppies(spark, sf) -> I.Made:
+    return volumes(spark, sf).then(lambda content: [(content,)] if len(content) == 901120 else [])
 
 
 @query(f"{FACTS} select path, entry, size, sha1(text) as sha1 from b where path in (select path from v where total = 1760)")
 def track_round_trip(spark, sf):
     """Floppies as raw tracks and back: each sector is encoded, found by its sync words and decoded; then the files are read."""
-    floppies = volumes(spark, sf).where(F.octet_length("content") == 901120)
-    raw = I.convert(floppies, "extended-adf").select("path", F.col("data").alias("content"))
-    return I.files(raw).select("path", "entry", F.col("declared_size").alias("size"), F.sha1("data").alias("sha1"))
+    return I.files(I.convert(_floppies(spark, sf), "extended-adf")).select("path", "entry", F.col("declared_size").alias("size"), F.sha1("data").alias("sha1"))
 
 
 @query(f"""{FACTS} select path as title, 3 as sources, true as can_vote, cast(null as varchar) as refused, 1760 - 3 as unanimous, 2 as resolved_sectors, 1 as unresolved_sectors from v where total = 1760""")
 def consolidate_dumps(spark, sf):
     """Three dumps of each floppy: two have a sector of their own wrong, and in one sector all three differ."""
-    base = volumes(spark, sf).where(F.octet_length("content") == 901120).select(F.col("path").alias("title"), "content")
+    base = _floppies(spark, sf).frame().select(F.col("path").alias("title"), "content")
     wrong = lambda c, sector, letter: F.overlay(c, F.repeat(F.lit(letter), 512).cast("binary"), F.lit(sector * 512 + 1), F.lit(512))
     a = base.select("title", F.lit("a").alias("path"), "content")
     b = base.select("title", F.lit("b").alias("path"), wrong(wrong(F.col("content"), 1500, "x"), 1700, "x").alias("content"))
@@ -130,7 +132,7 @@ select count(*) as examined, cast(sum(unreadable) as bigint) as unreadable, cast
 def batch_records(spark, sf):
     """A corpus in one row: examined, mounted, sound, bytes recovered; an unreadable image counts, too."""
     none = spark.createDataFrame([("none", None)], "path string, content binary")
-    return I.batch_summary(I.batch(volumes(spark, sf).unionByName(none)))
+    return I.batch_summary(I.batch(volumes(spark, sf)).unionByName(I.batch(none)))
 
 
 #: Magics that documents have: at the beginning of a block, or anywhere.
