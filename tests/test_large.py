@@ -72,3 +72,7 @@ def test_what_an_editor_keeps_is_what_a_new_examination_finds():
 
 def test_volumes_are_made_changed_and_read_in_one_step(spark, small):
     assert passes(entry.queries()["delete_files"](spark, small)) == (1, 1)
+
+
+def test_deleted_files_are_carved_in_the_step_that_deletes_them(spark, small):
+    assert passes(entry.queries()["carve_deleted"](spark, small)) == (1, 1)
