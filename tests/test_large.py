@@ -76,3 +76,7 @@ def test_volumes_are_made_changed_and_read_in_one_step(spark, small):
 
 def test_deleted_files_are_carved_in_the_step_that_deletes_them(spark, small):
     assert passes(entry.queries()["carve_deleted"](spark, small)) == (1, 1)
+
+
+def test_volumes_are_listed_in_the_step_that_makes_them(spark, small):
+    assert passes(entry.queries()["list_json"](spark, small)) == (1, 2)
