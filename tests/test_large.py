@@ -80,3 +80,7 @@ def test_deleted_files_are_carved_in_the_step_that_deletes_them(spark, small):
 
 def test_volumes_are_listed_in_the_step_that_makes_them(spark, small):
     assert passes(entry.queries()["list_json"](spark, small)) == (1, 2)
+
+
+def test_volumes_are_checked_in_the_step_that_makes_them(spark, small):
+    assert passes(entry.queries()["volume_check"](spark, small)) == (1, 1)
