@@ -6,14 +6,18 @@ other, to names and to places is joins, as-of lookups, islands and walks over th
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from palimpsest.functions import m68k, media
 from palimpsest.operators import relational as R
-from palimpsest.operators.images import per_image
+from palimpsest.operators.images import ROWS, per_image
 
 FIELDS = "hunk int, at bigint, size int, name string, operands string, flow string, target bigint, reached boolean"
 
@@ -60,6 +64,35 @@ def instructions(found: DataFrame, name: str = "entry", data: str = "data", raw:
     return per_image(_given(found, name, data), one, FIELDS, ["entry"])
 
 
+def tiles(found: DataFrame, name: str = "entry", data: str = "data") -> DataFrame:
+    """path, entry, at, size of each instruction that instructions() finds in raw code, for what needs no text: rows leave as whole columns."""
+    source = _given(found, name, data).select("path", "entry", F.coalesce("content", F.lit(b"")).alias("content"))
+    schema = StructType([source.schema["path"], source.schema["entry"], StructField("at", LongType()), StructField("size", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows, at, size, n = [], [], [], 0
+
+            def table():
+                of = pa.array(np.repeat(rows, [len(x) for x in at]))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(at)), pa.array(np.concatenate(size))], schema=arrow)  # noqa: B023
+
+            for i in range(batch.num_rows):
+                for a, s in m68k.tiles(batch.column(2)[i].as_py()):
+                    rows.append(i)
+                    at.append(a)
+                    size.append(s)
+                    n += len(a)
+                    if n >= 16 * ROWS:
+                        yield table()
+                        rows, at, size, n = [], [], [], 0
+            if n:
+                yield table()
+
+    return source.mapInArrow(run, schema)
+
+
 def references(found: DataFrame, name: str = "entry", data: str = "data") -> DataFrame:
     """What names a place: (hunk, at) to (to_hunk, to), by relocation, branch, jump, call or PC-relative operand; sorted by place, then origin, within a program."""
 

@@ -185,7 +185,7 @@ def code_tiles(spark, sf):
     from palimpsest.operators import code
 
     docs = T(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.lit("d").alias("entry"), F.col("text").cast("binary").alias("data"))
-    lines = code.instructions(docs, raw=True)
+    lines = code.tiles(docs)
     whole = lines.groupBy(F.col("path").alias("doc_id")).agg(F.sum("size").alias("bytes"), F.max(F.col("at") + F.col("size")).alias("end"))
     return whole.where("end = bytes").select("doc_id", "bytes")
 

@@ -1,13 +1,15 @@
 """What only large tables, or their volumes, bring up."""
 
+import random
 import re
 import zlib
 
 import duckdb
 
 import __spark_entry__ as entry
-from palimpsest.functions import edit, health
+from palimpsest.functions import edit, health, m68k
 from palimpsest.functions.volume import Volume
+from palimpsest.operators import code
 
 
 def documents(spark, folder, texts):
@@ -84,3 +86,24 @@ def test_volumes_are_listed_in_the_step_that_makes_them(spark, small):
 
 def test_volumes_are_checked_in_the_step_that_makes_them(spark, small):
     assert passes(entry.queries()["volume_check"](spark, small)) == (1, 1)
+
+
+def test_tiles_are_the_listing(monkeypatch):
+    rng = random.Random(5)
+    texts = [b"the tide; in 1984 (was) not there: that two text lines tell\n" * 20, b"", b"x", b"ab", bytes(rng.randrange(256) for _ in range(60001))]
+    texts += [bytes(rng.choice(b"\x20\x30\x70\x74\x06\x07\x00") for _ in range(n)) for n in (9, 10, 11, 12, 13, 4000, 30000)]
+    wanted = [[(x.at, x.size) for x in m68k.listing(t)] for t in texts]
+    for most in (7, 1 << 16):
+        assert [[(int(a), int(b)) for at, size in m68k.tiles(t, most) for a, b in zip(at, size, strict=True)] for t in texts] == wanted
+    text, decoded = b"the same words again and again, " * 3000, []
+    tried = m68k._tried
+    monkeypatch.setattr(m68k, "_tried", lambda data, at: decoded.append(at) or tried(data, at))
+    assert sum(len(at) for at, _ in m68k.tiles(text)) > 20000 and len(decoded) < 200
+
+
+def test_tiles_of_many_programs(spark):
+    rng = random.Random(6)
+    rows = [(i, "d", bytearray(rng.randrange(256) for _ in range(rng.randrange(0, 400)))) for i in range(50)] + [(99, None, bytearray(b"Nu" * 90000)), (100, "d", None)]
+    found = spark.createDataFrame(rows, "path bigint, entry string, data binary").repartition(3)
+    both = [f.select("path", "entry", "at", "size").collect() for f in (code.tiles(found), code.instructions(found, raw=True))]
+    assert sorted(both[0], key=str) == sorted(both[1], key=str) and len(both[0]) > 90000
