@@ -518,8 +518,8 @@ def convert(images: DataFrame | Made, target: str) -> DataFrame | Made:
 def as_extended(data: bytes) -> bytes:
     """Plain sectors as an extended image of raw tracks."""
     each = tracks.PER_TRACK * tracks.SECTOR
-    cut = lambda t: [data[t * each + i * 512 : t * each + (i + 1) * 512] for i in range(tracks.PER_TRACK)]
-    return tracks.extended_image([(True, tracks.encode_track(t, cut(t))) for t in range(len(data) // each)])
+    n = len(data) // each
+    return tracks.extended_image([(True, x) for x in tracks.encode_tracks(list(range(n)), tracks.PER_TRACK, data[: n * each])])
 
 
 CHANGES = "array<struct<op: string, path: string, other: string, data: binary>>"

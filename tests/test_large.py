@@ -5,11 +5,13 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
-from palimpsest.functions import edit, health, m68k
+from palimpsest.functions import edit, health, m68k, tracks
 from palimpsest.functions.volume import Volume
 from palimpsest.operators import code
+from palimpsest.operators import images as I
 
 
 def documents(spark, folder, texts):
@@ -107,3 +109,32 @@ def test_tiles_of_many_programs(spark):
     found = spark.createDataFrame(rows, "path bigint, entry string, data binary").repartition(3)
     both = [f.select("path", "entry", "at", "size").collect() for f in (code.tiles(found), code.instructions(found, raw=True))]
     assert sorted(both[0], key=str) == sorted(both[1], key=str) and len(both[0]) > 90000
+
+
+def test_a_disk_of_tracks_is_encoded_and_decoded_at_once(monkeypatch):
+    calls = []
+    for f in ("packbits", "unpackbits"):
+        monkeypatch.setattr(np, f, lambda *a, g=getattr(np, f), **k: calls.append(g) or g(*a, **k))
+    data = random.Random(7).randbytes(901120)
+    assert tracks.assemble(I.as_extended(data)).data == data and len(calls) < 100
+
+
+def test_sectors_at_any_bit_with_damage():
+    rng = random.Random(8)
+    sectors = [rng.randbytes(512) for _ in range(11)]
+    bits = "".join(f"{b:08b}" for b in tracks.encode_track(9, sectors))
+    own = "".join(c for i, c in enumerate(bits) if i % 2)
+    assert all(bits[i] == ("1" if own[i // 2 - 1] == own[i // 2] == "0" else "0") for i in range(8 * 44, 8 * 1100, 2))  # clock bits of the first sector's body
+    for shift in range(17):
+        there = "10110100110101001"[:shift] + bits
+        n = shift + 8 * (32 + 8 + 700)  # a bit of the first sector's data
+        there = there[: n + 1] + "10"[int(there[n + 1])] + there[n + 2 :]
+        raw = int(there.ljust(-(-len(there) // 8) * 8, "0"), 2).to_bytes(-(-len(there) // 8), "big")
+        found = tracks.decode_track(raw).sectors
+        assert [(s.number, s.track, s.to_gap, s.bit) for s in found] == [(i, 9, 11 - i, shift + 8 * (36 + 1120 * i)) for i in range(11)]
+        assert [s.data for s in found[1:]] == sectors[1:] and [s.sound for s in found] == [False] + [True] * 10 and found[0].violations > 0
+        assert len(tracks.decode_track(raw[:-40]).sectors) == 10 and tracks.decode_track(raw[:-40]).stray_syncs == 1
+
+
+def test_tracks_are_written_and_read_in_the_step_that_makes_them(spark, small):
+    assert passes(entry.queries()["track_round_trip"](spark, small)) == (1, 1)
