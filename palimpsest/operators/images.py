@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -662,26 +662,101 @@ def sector_rows(images: DataFrame) -> DataFrame:
     return numbered.select("path", F.col("sector").cast("bigint").alias("sector"), F.substring("content", F.col("sector") * BLOCK + 1, F.lit(BLOCK)).alias("data"))
 
 
+#: Bytes of the pieces that dumps are compared in.
+PIECE = 512 * BLOCK
+
+
+class Ballot:
+    """A vote over the sectors of one piece. Dumps come one by one; of those that agree with the first only numbers are kept, so memory goes by contents, not by dumps."""
+
+    def __init__(self):
+        self.base, self.sources, self.others = None, [], {}
+
+    def add(self, source: str | None, data: bytes) -> None:
+        import numpy as np
+
+        x = np.frombuffer(data, np.uint64).reshape(-1, BLOCK // 8)
+        self.sources.append(source)
+        new = len(self.sources) - 1
+        if self.base is None:
+            self.base, self.n, self.first = x, np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
+            return
+        equal = (x == self.base).all(axis=1)
+        self.n += equal
+        for old in np.unique(self.first).tolist():
+            if self.before(new, old):
+                self.first[equal & (self.first == old)] = new
+        for i in np.flatnonzero(~equal).tolist():
+            values = self.others.setdefault(i, {})
+            n, old = values.get(value := x[i].tobytes(), (0, new))
+            values[value] = n + 1, new if self.before(new, old) else old
+
+    def before(self, a: int, b: int) -> bool:
+        a, b = self.sources[a], self.sources[b]
+        return a is not None and (b is None or a < b)
+
+    def count(self) -> tuple[list[int], list[int], bytes]:
+        """Sectors that a sole lead resolves, sectors with a tied lead, and the chosen bytes: a tied lead takes what the first source says."""
+        resolved, unresolved, chosen = [], [], bytearray(self.base.tobytes())
+        for i, others in sorted(self.others.items()):
+            values = {self.base[i].tobytes(): (int(self.n[i]), int(self.first[i])), **others}
+            top = max(n for n, _ in values.values())
+            lead = [v for v, (n, _) in values.items() if n == top]
+            value = lead[0]
+            if len(lead) > 1:
+                for v, (_, source) in values.items():
+                    if self.before(source, values[value][1]):
+                        value = v
+            (resolved if len(lead) == 1 else unresolved).append(i)
+            chosen[i * BLOCK : (i + 1) * BLOCK] = value
+        return resolved, unresolved, bytes(chosen)
+
+
 def consolidate(dumps: DataFrame, group: str = "title") -> DataFrame:
     """One image of each group's dumps, by a vote over every sector: report and merged bytes.
 
     dumps: group, path, content. Dumps of a group must have one size of whole sectors, else the row is refused. A sector of one content is unanimous, a sole lead resolves it, a tied
-    lead is unresolved and takes the first dump's (by path). Two dumps can be compared but can't vote.
+    lead is unresolved and takes the first dump's (by path). Two dumps can be compared but can't vote. Dumps are dealt out in pieces, so neither large images nor many dumps meet in one task.
     """
-    sizes = dumps.groupBy(group).agg(F.count("*").alias("sources"), F.min(F.octet_length("content")).alias("size"), F.max(F.octet_length("content")).alias("most"), F.count("content").alias("read"))
+    size = F.octet_length("content")
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(size / PIECE), F.lit(1)).cast("int") - 1)  # the first piece of every dump is there, even of none
+    rows = dumps.select(F.col(group).alias("group"), F.col("path").alias("source"), size.cast("bigint").alias("size"), "content", F.explode(pieces).alias("piece"))
+    rows = rows.select("group", "piece", "source", "size", F.substring("content", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("data"))
+    fields = "sources bigint, size bigint, most bigint, read bigint, sectors bigint, resolved array<bigint>, unresolved array<bigint>, merged binary"
+    schema = StructType([rows.schema["group"], rows.schema["piece"], *schema_of(fields).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, sizes, read, votes, key = 0, set(), 0, Ballot(), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                title, piece, source, size, data = (batch.column(c)[i].as_py() for c in range(5))
+                key, sources = (title, piece), sources + 1
+                if data is not None:
+                    read += 1
+                    sizes.add(size)
+                    if len(sizes) == 1 and size and size % BLOCK == 0:
+                        votes.add(source, data)
+        resolved, unresolved, merged = votes.count() if votes.base is not None else ([], [], b"")
+        at = key[1] * PIECE // BLOCK
+        row = (*key, sources, min(sizes, default=None), max(sizes, default=None), read, len(merged) // BLOCK, [at + s for s in resolved], [at + s for s in unresolved], merged)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    voted = rows.groupBy("group", "piece").applyInArrow(run, schema)
+    numbers = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("merged").alias("h")))), lambda x: x["h"]), "")
+    each = voted.groupBy("group").agg(
+        F.max("sources").alias("sources"), F.min("size").alias("size"), F.max("most").alias("most"), F.max("read").alias("read"), F.sum("sectors").alias("sectors_total"),
+        F.sum(F.size("resolved")).alias("resolved_sectors"), F.sum(F.size("unresolved")).alias("unresolved_sectors"), numbers("resolved").alias("disputed"), numbers("unresolved").alias("unresolved"), merged.alias("merged"),
+    )
     fit = (F.col("sources") >= 2) & (F.col("size") == F.col("most")) & (F.col("read") == F.col("sources")) & (F.col("size") % BLOCK == 0) & (F.col("size") > 0)
-    judged = sizes.withColumn("refused", F.when(F.col("sources") < 2, "one dump").when(~fit, "sizes differ or aren't whole sectors"))
-    rows = sector_rows(dumps.join(judged.where("refused is null").select(group), group).select(F.struct(F.col(group).alias("g"), F.col("path").alias("p")).alias("path"), "content"))
-    rows = rows.select(F.col("path.g").alias(group), F.col("path.p").alias("source"), "sector", "data")
-    voted = relational.vote(rows, [group, "sector"], "data", "source")
-    count = lambda state: F.count_if(F.col("state") == state)
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sector", F.hex("chosen").alias("h")))), lambda x: x["h"]), "")
-    disputed = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.col("sector"))))
-    report = voted.groupBy(group).agg(
-        F.count("*").alias("sectors_total"), count("unanimous").alias("unanimous"), count("resolved").alias("resolved_sectors"), count("unresolved").alias("unresolved_sectors"),
-        disputed("resolved").alias("disputed"), disputed("unresolved").alias("unresolved"), F.unhex(merged).alias("merged"),
+    judged = each.withColumn("refused", F.when(F.col("sources") < 2, "one dump").when(~fit, "sizes differ or aren't whole sectors"))
+    told = lambda c, name: F.when(F.col("refused").isNull(), c).alias(name)
+    return judged.select(
+        F.col("group").alias(group), "sources", "refused", (F.col("refused").isNull() & (F.col("sources") > 2)).alias("can_vote"), told(F.col("sectors_total"), "sectors_total"),
+        told(F.col("sectors_total") - F.col("resolved_sectors") - F.col("unresolved_sectors"), "unanimous"), told(F.col("resolved_sectors"), "resolved_sectors"), told(F.col("unresolved_sectors"), "unresolved_sectors"),
+        told(F.col("disputed"), "disputed"), told(F.col("unresolved"), "unresolved"), told(F.unhex("merged"), "merged"),
     )
-    return judged.select(group, "sources", "refused", (F.col("refused").isNull() & (F.col("sources") > 2)).alias("can_vote")).join(report, group, "left")
 
 
 def compare(pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:

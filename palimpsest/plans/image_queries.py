@@ -119,12 +119,11 @@ def track_round_trip(spark, sf):
 @query(f"""{FACTS} select path as title, 3 as sources, true as can_vote, cast(null as varchar) as refused, 1760 - 3 as unanimous, 2 as resolved_sectors, 1 as unresolved_sectors from v where total = 1760""")
 def consolidate_dumps(spark, sf):
     """Three dumps of each floppy: two have a sector of their own wrong, and in one sector all three differ."""
-    base = _floppies(spark, sf).frame().select(F.col("path").alias("title"), "content")
     wrong = lambda c, sector, letter: F.overlay(c, F.repeat(F.lit(letter), 512).cast("binary"), F.lit(sector * 512 + 1), F.lit(512))
-    a = base.select("title", F.lit("a").alias("path"), "content")
-    b = base.select("title", F.lit("b").alias("path"), wrong(wrong(F.col("content"), 1500, "x"), 1700, "x").alias("content"))
-    c = base.select("title", F.lit("c").alias("path"), wrong(wrong(F.col("content"), 1600, "y"), 1700, "y").alias("content"))
-    return I.consolidate(a.unionByName(b).unionByName(c)).select("title", "sources", "can_vote", "refused", "unanimous", "resolved_sectors", "unresolved_sectors")
+    c = F.col("content")
+    dumps = F.array(*[F.struct(F.lit(name).alias("path"), content.alias("content")) for name, content in (("a", c), ("b", wrong(wrong(c, 1500, "x"), 1700, "x")), ("c", wrong(wrong(c, 1600, "y"), 1700, "y")))])
+    each = _floppies(spark, sf).frame().select(F.col("path").alias("title"), F.inline(dumps))
+    return I.consolidate(each).select("title", "sources", "can_vote", "refused", "unanimous", "resolved_sectors", "unresolved_sectors")
 
 
 @query(f"""{FACTS}, r as (select path, 1 as mounted, 0 as unreadable, bytes from v union all select 'none', 0, 1, 0)

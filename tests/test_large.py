@@ -6,12 +6,14 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.functions import edit, health, m68k, tracks
 from palimpsest.functions.volume import Volume
 from palimpsest.operators import code
 from palimpsest.operators import images as I
+from palimpsest.operators import relational as R
 
 
 def documents(spark, folder, texts):
@@ -138,3 +140,34 @@ def test_sectors_at_any_bit_with_damage():
 
 def test_tracks_are_written_and_read_in_the_step_that_makes_them(spark, small):
     assert passes(entry.queries()["track_round_trip"](spark, small)) == (1, 1)
+
+
+def test_dumps_of_many_pieces_are_voted_as_their_sectors(spark):
+    rng = random.Random(9)
+    rows = []
+    for title, n, sectors in (("long", 3, 1300), ("two", 2, 513), ("many", 9, 40), ("lone", 1, 600), ("last", 4, 1024)):
+        base = rng.randbytes(512 * sectors)
+        for i in range(n):
+            dump = bytearray(base)
+            for s in rng.sample(range(sectors), sectors // 8) + [sectors - 1]:
+                dump[s * 512 : s * 512 + 512] = bytes([rng.randrange(2)]) * 512
+            rows.append((title, f"p{9 - i}", dump))
+    rows += [("odd", "a", bytearray(512 * 600)), ("odd", "b", bytearray(512 * 601)), ("unread", "a", None), ("unread", "b", bytearray(512)), (None, "a", bytearray(1024)), (None, "b", bytearray(1024)), ("empty", "a", bytearray()), ("empty", "b", bytearray())]
+    dumps = spark.createDataFrame(rows, "title string, path string, content binary").repartition(5)
+    got = {r.title: r for r in I.consolidate(dumps).collect()}
+    sector = I.sector_rows(dumps.select(F.struct("title", "path").alias("path"), "content")).select("path.*", "sector", "data")
+    wanted = {}
+    for r in R.vote(sector, ["title", "sector"], "data", "path").collect():
+        wanted.setdefault(r.title, []).append((r.sector, r.state, bytes(r.chosen)))
+    for title in ("long", "two", "many", "last", None):
+        r, w = got[title], sorted(wanted[title])
+        assert bytes(r.merged) == b"".join(c for _, _, c in w) and r.sectors_total == len(w) and r.unanimous == sum(s == "unanimous" for _, s, _ in w)
+        assert (r.disputed, r.unresolved) == tuple([n for n, s, _ in w if s == state] for state in ("resolved", "unresolved"))
+        assert (len(r.disputed), len(r.unresolved), r.refused) == (r.resolved_sectors, r.unresolved_sectors, None)
+    assert {t: (got[t].refused, got[t].sources, got[t].unanimous, got[t].merged) for t in ("lone", "odd", "unread", "empty")} == {
+        "lone": ("one dump", 1, None, None), **{t: ("sizes differ or aren't whole sectors", 2, None, None) for t in ("odd", "unread", "empty")}
+    }
+
+
+def test_dumps_are_made_once_and_dealt_out_in_pieces(spark, small):
+    assert passes(entry.queries()["consolidate_dumps"](spark, small)) == (2, 3)
